@@ -10,8 +10,8 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-#: Rows of one Arrow batch at most: texts can be long, so batches are kept short to bound memory.
-BATCH_ROWS = 512
+#: Rows and bytes of one Arrow batch at most: texts can be long, so batches are kept short to bound memory.
+BATCH_ROWS, BATCH_BYTES = 512, 8 << 20
 #: The words of the corpus contracts are runs of other characters than these six.
 SPACES = " \t\n\x0b\x0c\r"
 
@@ -53,10 +53,11 @@ def _clean() -> None:
 
 
 def short_batches(spark: SparkSession) -> None:
-    """Bounds the rows of Arrow batches in this session (a smaller bound stays)."""
+    """Bounds the Arrow batches of this session (a smaller bound of rows stays)."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key, "10000")) not in range(1, BATCH_ROWS + 1):
         spark.conf.set(key, str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def arrow_map(df: DataFrame, row_batches: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:

@@ -7,7 +7,13 @@ import importlib
 #: query: module. Each module has query(spark, sf_dir), and ORACLE_SQL where SQL can express it.
 MODULES = {
     "op1_line_frequency": "quality",
+    "op2_license_scan": "licenses",
+    "op3_sharding": "sharding",
     "op4_simhash_covering": "simhash",
+    "op5_url_filter": "urls",
+    "op6_chat_format": "chat",
+    "op7_warc": "warc",
+    "op8_webp": "webp",
     "op9_mixing": "mixing",
     "op10_packing": "packing",
 }
