@@ -62,8 +62,8 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     if shared.count() <= BROADCAST_GROUPS:
         shared = F.broadcast(shared)
     rows = rows.join(shared, rows["sha1"] == shared["of"], "left").withColumn("at", F.monotonically_increasing_id().cast("string"))
-    capture = _uuid("request", F.coalesce("id", F.lit("")), "at")
-    ident = lambda n: _uuid("response", F.coalesce(n.cast("string"), F.lit("")), "sha1")
+    capture = _uuid("request", F.coalesce("id", F.lit("")), F.col("at"))
+    ident = lambda n: _uuid("response", F.coalesce(n.cast("string"), F.lit("")), F.col("sha1"))
     digest = F.concat(F.lit("sha1:"), base32(F.col("sha1")))
     rest = F.substring_index("url", "://", -1)
     host, path_ = F.regexp_extract(rest, "^([^/?#]*)", 1), F.regexp_extract(rest, "^[^/?#]*([^#]*)", 1)
@@ -77,14 +77,14 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
             F.when(
                 again,
                 _record(
-                    [("WARC-Type", "revisit"), ("WARC-Record-ID", _uuid("revisit", F.coalesce("id", F.lit("")), "at")), ("WARC-Concurrent-To", capture), ("WARC-Refers-To", ident(F.col("lead"))), *common,
+                    [("WARC-Type", "revisit"), ("WARC-Record-ID", _uuid("revisit", F.coalesce("id", F.lit("")), F.col("at"))), ("WARC-Concurrent-To", capture), ("WARC-Refers-To", ident(F.col("lead"))), *common,
                      ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Payload-Digest", digest), ("Content-Type", "application/http;msgtype=response")],
                     answer,
                 ),
             ).otherwise(
                 _record([("WARC-Type", "response"), ("WARC-Record-ID", ident(F.col("n"))), ("WARC-Concurrent-To", capture), *common, ("WARC-Payload-Digest", digest), ("Content-Type", "application/http;msgtype=response")], F.concat(answer, "html"))
             ),
-            _record([("WARC-Type", "metadata"), ("WARC-Record-ID", _uuid("metadata", F.coalesce("id", F.lit("")), "at")), ("WARC-Concurrent-To", capture), *common, ("Content-Type", "application/warc-fields")], F.concat(F.lit("pageId: "), F.coalesce("id", F.lit("")), F.lit("\r\n"))),
+            _record([("WARC-Type", "metadata"), ("WARC-Record-ID", _uuid("metadata", F.coalesce("id", F.lit("")), F.col("at"))), ("WARC-Concurrent-To", capture), *common, ("Content-Type", "application/warc-fields")], F.concat(F.lit("pageId: "), F.coalesce("id", F.lit("")), F.lit("\r\n"))),
         ).alias("records")
     )
     out.select(F.explode("records").alias("value")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", 3 * FILE_CAPTURES).text(path)
@@ -212,8 +212,8 @@ ORACLE_SQL = r"""
 WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
 h AS (SELECT page_id, octet_length(b) AS payload_bytes, sha1(b) AS hex FROM p),
 l AS (SELECT *, max(page_id) OVER (PARTITION BY hex) AS lead FROM h),
-d AS (SELECT *, list_transform(range(32), i -> CAST('0x' || substr(hex, CAST(i // 4 * 5 + 1 AS INT), 5) AS BIGINT) >> CAST(15 - i % 4 * 5 AS INT) & 31) AS digits FROM l)
-SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, list_aggregate(list_transform(digits, x -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(x + 1 AS INT), 1)), 'string_agg', '') AS payload_digest,
+d AS (SELECT *, [CAST('0x' || substr(hex, CAST(i // 4 * 5 + 1 AS INT), 5) AS BIGINT) >> CAST(15 - i % 4 * 5 AS INT) & 31 FOR i IN range(32)] AS digits FROM l)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, list_aggregate([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(x + 1 AS INT), 1) FOR x IN digits], 'string_agg', '') AS payload_digest,
        CASE WHEN page_id = lead THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id = lead THEN NULL ELSE lead END AS refers_to
 FROM d
 """
