@@ -312,3 +312,42 @@ def _(spark, d):
 
     watch.poll(watch.running_products(watch.arriving(spark, f"{home}/in", files_per_trigger=1)), f"{home}/check", sink, "complete")
     return spark.read.parquet(latest[0])
+
+
+def _master(spark, d: str) -> str:
+    """The scan as a detector master with shards, in a folder that all machines see."""
+    import os
+
+    import numpy as np
+
+    from ..sources import masters
+
+    rows = embeddings_scan(spark, d).frames.select("frame_idx", "counts").orderBy("frame_idx").collect()  # the writer is for frames at hand
+    home = scratch(spark, "masters").removeprefix("file://")
+    os.makedirs(home, exist_ok=True)
+    mask = np.zeros((8, 8), int)
+    mask[2, 5] = 1
+    return masters.save(f"{home}/scan", np.array([r.counts for r in rows], np.uint16).reshape(-1, 8, 8), mask, 1e-3, per_shard=200)
+
+
+@query("io_03_hdf5_master", f"{W} SELECT {K}, CAST(sum(n) AS BIGINT) AS value FROM pixels GROUP BY ALL")
+def _(spark, d):
+    from ..sources import masters
+
+    n = spark.read.parquet(f"{d}/embeddings.parquet").count()
+    return reduce.total_counts(masters.load(spark, _master(spark, d), (n // 25, 25)).pixels())
+
+
+@query("io_17_inspect_master", "SELECT true AS ready, count(*) AS found, 'uint16' AS dtype, 1000e0 AS dwell_time_us FROM embeddings")
+def _(spark, d):
+    from ..sources import masters
+
+    s = masters.inspect(_master(spark, d))
+    return spark.createDataFrame([(s["ready"], s["found"], s["dtype"], s["metadata"]["dwell_time_us"])], "ready boolean, found long, dtype string, dwell_time_us double")
+
+
+@query("io_15_master_mask", "SELECT CAST(2 AS INTEGER) AS det_row, CAST(5 AS INTEGER) AS det_col")
+def _(spark, d):
+    from ..sources import masters
+
+    return masters.read_mask(spark, _master(spark, d))
