@@ -10,7 +10,7 @@ from __future__ import annotations
 import json
 import math
 from collections.abc import Callable, Iterator, Sequence
-from dataclasses import asdict, dataclass, field
+from dataclasses import asdict, dataclass, field, replace
 
 import numpy as np
 import pandas as pd
@@ -217,6 +217,12 @@ class SSB:
     def __exit__(self, *_) -> None:
         self.prepared.unpersist()
 
+    def set_rotation(self, degrees: float) -> SSB:
+        """The same spectra with the detector turned: only the pixels' frequencies change."""
+        a = math.radians(degrees - self.g.rotation_deg)
+        k_row, k_col = F.col("k_row") * math.cos(a) - F.col("k_col") * math.sin(a), F.col("k_row") * math.sin(a) + F.col("k_col") * math.cos(a)
+        return SSB(self.prepared.select("bf_idx", k_row.alias("k_row"), k_col.alias("k_col"), "re", "im"), replace(self.g, rotation_deg=degrees))
+
     def preview(self, ratio: float) -> SSB:
         """The session over every k-th bright-field pixel, k = round(1 / ratio)."""
         return SSB(self.prepared.where(F.col("bf_idx") % max(1, round(1 / ratio)) == 0), self.g)

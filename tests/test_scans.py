@@ -343,6 +343,9 @@ def test_ssb_against_a_direct_computation(spark):
     phases = np.angle(waves)
     assert np.allclose(to_array(phase, "row", "col", "phase", (6, 6)), phases.mean(0))
     assert loss[0] == pytest.approx(phases.var(0).mean()) and len(loss) == 2
+    plain = ssb.Geometry(300.0, 20.0, (6, 6), (0.5, 0.5), (7.0, 7.0), (3.5, 3.5))
+    with ssb.SSB.open(scan.pixels(), bf, plain) as session:
+        assert session.set_rotation(10.0).loss([theta]) == pytest.approx(loss[:1])
 
 
 def test_nelder_mead_and_search(spark):
