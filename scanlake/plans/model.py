@@ -50,9 +50,12 @@ def square_shape(n: int) -> tuple[int, int]:
 
 
 def pixels(frames: DataFrame, det_cols: int) -> DataFrame:
-    """One row for each detector pixel; made in the scan's own stage, so sums over them start before any shuffle."""
+    """One row for each detector pixel; made in the scan's own stage, so sums over them start before any shuffle.
+
+    The outer form with a filter behind it: before an inner one Spark tests the array's size, for which it would work out
+    a computed array again."""
     keys = [c for c in ("dataset_id", "frame_idx", "scan_row", "scan_col") if c in frames.columns]
-    out = frames.select(*keys, F.posexplode("counts").alias("p", "n"))
+    out = frames.select(*keys, F.posexplode_outer("counts").alias("p", "n")).where("p is not null")
     return out.select(*keys, F.floor(F.col("p") / det_cols).cast("int").alias("det_row"), (F.col("p") % det_cols).cast("int").alias("det_col"), F.col("n").cast("long").alias("n"))
 
 
