@@ -19,7 +19,12 @@ COLORMAPS = {
     "hsv": [[255, 0, 0], [255, 255, 0], [0, 255, 0], [0, 255, 255], [0, 0, 255], [255, 0, 255], [255, 0, 0]],
     "turbo": [[48, 18, 59], [69, 55, 161], [66, 107, 230], [30, 162, 230], [29, 212, 169], [79, 241, 89], [175, 240, 32], [244, 195, 12], [248, 118, 11], [207, 46, 3], [122, 4, 2]],
     "RdBu": [[103, 0, 31], [178, 24, 43], [214, 96, 77], [244, 165, 130], [253, 219, 199], [247, 247, 247], [209, 229, 240], [146, 197, 222], [67, 147, 195], [33, 102, 172], [5, 48, 97]],
+    "cividis": [[0, 32, 76], [0, 42, 102], [13, 64, 117], [42, 80, 125], [70, 97, 125], [99, 113, 124], [127, 130, 121], [156, 148, 117], [187, 167, 105], [221, 188, 80], [253, 215, 21]],
+    "seismic": [[0, 0, 76], [0, 0, 153], [0, 0, 255], [124, 124, 255], [255, 255, 255], [255, 124, 124], [255, 0, 0], [153, 0, 0], [76, 0, 0]],
 }
+_HALF = [[225, 216, 226], [184, 192, 224], [136, 158, 213], [101, 124, 197], [80, 92, 174], [69, 64, 135], [57, 36, 87], [40, 17, 47]]
+# Those that follow from others: a reversed one, and one that goes there and back, from either end.
+COLORMAPS |= {"RdBu_r": COLORMAPS["RdBu"][::-1], "twilight": _HALF + _HALF[-2::-1], "twilight_shifted": _HALF[::-1] + _HALF[1:]}
 
 
 def _finite(x: Column) -> Column:

@@ -186,6 +186,8 @@ def test_display_values(spark):
     assert display.slider_range(0, 10, 10, 90) == (1, 9)
     with pytest.raises(ValueError):
         display.colormap_lut("none")
+    assert len(display.COLORMAPS) == 15 and all(display.colormap_lut(n).shape == (256, 3) for n in display.COLORMAPS)
+    assert display.colormap_lut("twilight")[[0, 255]].tolist() == [[225, 216, 226]] * 2 and display.colormap_lut("RdBu_r")[0].tolist() == [5, 48, 97]
     assert display.colormap_lut("viridis")[[0, 255]].tolist() == [[68, 1, 84], [253, 231, 37]]
 
 
