@@ -490,3 +490,21 @@ def test_watched_folder(scan, spark, tmp_path):
     query = watch.watch(watch.running_products(watch.arriving(spark, f"{home}/in")), f"{home}/check2", watch.append_to(f"{home}/out2"), 1, "complete")
     watch.stop(query)
     assert not query.isActive
+
+
+def test_a_dataset_rests_before_it_is_reported(scan, spark, tmp_path):
+    import time
+
+    home = str(tmp_path)
+    scan.frames.coalesce(1).write.parquet(f"{home}/in/a")
+    query = watch.watch(watch.ready_datasets(watch.arriving(spark, f"{home}/in"), 20, rest_ms=1500), f"{home}/check", watch.append_to(f"{home}/out"), 0.5, "update")
+    out = spark.read.schema("dataset_id string, n_frames long").option("recursiveFileLookup", "true")
+    try:
+        found = []
+        for _ in range(120):
+            time.sleep(0.5)
+            if (tmp_path / "out").exists() and (found := out.parquet(f"{home}/out").collect()):
+                break
+        assert [tuple(r) for r in found] == [("scan", 20)]
+    finally:
+        query.stop()
