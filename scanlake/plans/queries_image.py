@@ -146,7 +146,12 @@ def _(spark, d):
     return six(image.shifted(image.magnitude(image.fft2(img), log=True), shape), "value", digits=4)
 
 
-@query("img_05_fft_peak")
+_PEAK = _FFT + f""", m AS (SELECT (u + {_N} // 2) % {_N} AS "row", (w + 12) % 25 AS col, sqrt(value_re * value_re + value_im * value_im) AS value FROM f),
+b AS (SELECT "row" AS br, col AS bc FROM m WHERE abs("row" - 6) <= 4 AND abs(col - 8) <= 4 ORDER BY value DESC, "row", col LIMIT 1)
+SELECT {r6('sum("row" * value) / sum(value)', 4)} AS "row", {r6('sum(col * value) / sum(value)', 4)} AS col FROM m, b WHERE abs("row" - br) <= 1 AND abs(col - bc) <= 1"""
+
+
+@query("img_05_fft_peak", _PEAK)
 def _(spark, d):
     img, shape = totals(spark, d)
     return six(image.fft_peak(image.shifted(image.magnitude(image.fft2(img)), shape), shape, (6, 8), 4), "row", "col", digits=4)
@@ -173,7 +178,13 @@ def _(spark, d):
     return six(image.fft_quality(image.shifted(image.magnitude(image.fft2(img)), (40, 40)), (40, 40)), "sharp", "snr", "ring", digits=4)
 
 
-@query("img_11_frequency_filter")
+_PASS = _FFT + f""", q AS (SELECT u, w, value_re, value_im, least(1, sqrt(power(least(u, {_N} - u) / ({_N} / 2e0), 2) + power(least(w, 25 - w) / 12.5e0, 2))) AS r FROM f),
+p AS (SELECT u, w, value_re / (1 + exp(-(r - 0.2e0) / 0.035e0)) * (1 - 1 / (1 + exp(-(r - 0.4e0) / 0.035e0))) AS re, value_im / (1 + exp(-(r - 0.2e0) / 0.035e0)) * (1 - 1 / (1 + exp(-(r - 0.4e0) / 0.035e0))) AS im FROM q),
+i1 AS (SELECT w, r, sum(re * cos(2 * pi() * u * r / {_N}) - im * sin(2 * pi() * u * r / {_N})) AS re, sum(re * sin(2 * pi() * u * r / {_N}) + im * cos(2 * pi() * u * r / {_N})) AS im FROM p, (SELECT unnest(range({_N})) AS r) GROUP BY w, r)
+SELECT CAST(r AS INTEGER) AS "row", CAST(c AS INTEGER) AS col, {r6('sum(re * cos(2 * pi() * w * c / 25) - im * sin(2 * pi() * w * c / 25)) / (25 * ' + _N + ')', 4)} AS value FROM i1, (SELECT unnest(range(25)) AS c) GROUP BY r, c"""
+
+
+@query("img_11_frequency_filter", _PASS)
 def _(spark, d):
     return six(image.frequency_filter(totals(spark, d)[0], "bandpass", center=0.3, width=0.2), "value", digits=4)
 
