@@ -73,20 +73,24 @@ class _Writer:
     def __init__(self):
         self.values: list = []
         self.sizes: list = []
+        self.held: list[int] = []  # numbers, and their bits
+        self.bits: list[int] = []
 
     def write(self, value: int, n: int) -> None:
         if n > 16:
             self.write(value & 0xFFFF, 16)
             value, n = value >> 16, n - 16
-        self.values.append(np.array([value], np.int64))
-        self.sizes.append(np.array([n], np.int64))
+        self.held.append(value)
+        self.bits.append(n)
 
     def extend(self, values: np.ndarray, sizes: np.ndarray) -> None:
         """Of at most 17 bits each."""
-        self.values.append(values)
-        self.sizes.append(sizes)
+        self.values += [np.array(self.held, np.int64), values]
+        self.sizes += [np.array(self.bits, np.int64), sizes]
+        self.held, self.bits = [], []
 
     def bytes(self) -> bytes:
+        self.extend(np.zeros(0, np.int64), np.zeros(0, np.int64))
         values, sizes = np.concatenate(self.values), np.concatenate(self.sizes)
         ends = np.cumsum(sizes)
         total = int(ends[-1])
@@ -98,19 +102,24 @@ class _Writer:
         return out.astype(np.uint8)[: (total + 7) >> 3].tobytes()
 
 
+_MIRROR = [int(f"{x:08b}"[::-1], 2) for x in range(256)]
+
+
 def _reverse(code: int, n: int) -> int:
-    return int(f"{code:0{n}b}"[::-1], 2) if n else 0
+    return (_MIRROR[code & 255] << 8 | _MIRROR[code >> 8]) >> 16 - n
 
 
 def canonical(lengths: np.ndarray) -> np.ndarray:
     """The codes for the lengths, in the order of the bit stream (reversed)."""
-    lengths = np.asarray(lengths)
     codes = np.zeros(len(lengths), np.int64)
-    code, last = 0, 0
-    for n, s in sorted((int(n), s) for s, n in enumerate(lengths.tolist()) if n):
+    used = np.flatnonzero(lengths)
+    code, last, made = 0, 0, []
+    order = used[np.argsort(lengths[used], kind="stable")]
+    for n in lengths[order].tolist():
         code <<= n - last
-        codes[s] = _reverse(code, n)
+        made.append(_reverse(code, n))
         code, last = code + 1, n
+    codes[order] = made
     return codes
 
 
@@ -145,8 +154,7 @@ class _Code:
     """A prefix code as a table over the next ``bits`` bits."""
 
     def __init__(self, lengths: np.ndarray):
-        lengths = np.asarray(lengths, np.int64)
-        self.lengths = lengths
+        self.lengths = lengths = np.asarray(lengths, np.int64)
         used = np.flatnonzero(lengths)
         if not len(used):
             used = np.array([0])
@@ -221,16 +229,15 @@ def _write_code(w: _Writer, lengths: np.ndarray) -> None:
     w.write(0, 1)
     tokens: list[tuple[int, int, int]] = []  # symbol, extra, its bits
     at, values = 0, lengths.tolist()
-    while at < len(values):
-        if values[at]:
-            tokens.append((values[at], 0, 0))
-            at += 1
-            continue
-        run = 1
-        while at + run < len(values) and run < 138 and not values[at + run]:
-            run += 1
-        tokens += [(18, run - 11, 7)] if run >= 11 else [(17, run - 3, 3)] if run >= 3 else [(0, 0, 0)] * run
-        at += run
+    for s in [*used, len(values)]:
+        run = s - at
+        while run > 0:
+            part = min(run, 138)
+            tokens += [(18, part - 11, 7)] if part >= 11 else [(17, part - 3, 3)] if part >= 3 else [(0, 0, 0)] * part
+            run -= part
+        if s < len(values):
+            tokens.append((values[s], 0, 0))
+        at = s + 1
     counts = np.bincount([t[0] for t in tokens], minlength=19)
     own = code_lengths(counts, 7)
     n = max(4, max(i + 1 for i, s in enumerate(CODE_LENGTH_ORDER) if own[s]))
@@ -536,7 +543,7 @@ def _write_pixels(w: _Writer, pixels: np.ndarray, main: bool, cache_bits: int =
     if not cache_bits and not references:
         channels = [flat >> np.uint32(s) & np.uint32(255) for s in (8, 16, 0, 24)]
         lengths = [code_lengths(np.bincount(c, minlength=256), limit) for c in channels]
-        lengths[0] = np.concatenate([lengths[0], np.zeros(LENGTHS, np.int64)])
+        lengths[0] = np.pad(lengths[0], (0, LENGTHS))
         for n in lengths:
             _write_code(w, n)
         _write_code(w, np.zeros(DISTANCES, np.int64))
