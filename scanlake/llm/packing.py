@@ -21,7 +21,6 @@ import re
 import zlib
 from bisect import bisect_right
 from collections.abc import Callable, Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +31,8 @@ from .common import arrow_map, written
 
 CAPACITY, END = 2048, 0
 MAX_NODES, WIDTH = 6000, 12
-#: Words that a worker keeps the ids of; then it starts anew.
-CACHE_WORDS = 400_000
+#: Words that a worker keeps the ids of, twice: those of late, and those before them.
+CACHE_WORDS = 300_000
 
 
 # ---- tokens -------------------------------------------------------------------------------------------------
@@ -53,25 +52,32 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known: dict[str, bytes] = {}  # ids as little-endian 32-bit numbers
+        self.before: dict[str, bytes] = {}
         bytes_shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # byte-level vocabularies show the others from 256 on
         shown = {b: chr(b) for b in bytes_shown}
         shown |= {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in shown)}
         self.shown = {chr(b): c for b, c in shown.items()}
         self.table = str.maketrans(self.shown)
 
-    def word(self, word: str) -> tuple[int, ...]:
+    def word(self, word: str) -> bytes:
         if len(self.known) >= CACHE_WORDS:
-            self.known.clear()
-        ids = self.known[word] = tuple(t.id for t in self.whole.model.tokenize(word.encode().decode("latin-1").translate(self.table)))
+            self.known, self.before = {}, self.known
+        ids = self.known.get(word) or self.before.get(word)  # the caller may look into older ones
+        if ids is None:
+            ids = np.array([t.id for t in self.whole.model.tokenize(word.encode().decode("latin-1").translate(self.table))], "<u4").tobytes()
+        self.known[word] = ids
         return ids
 
-    def ids(self, text: str) -> np.ndarray:
+    def packed(self, text: str) -> bytes:
+        """The ids as little-endian 32-bit numbers."""
         if "<|" in text or not _PLAIN.fullmatch(text):
-            return np.array(self.whole.encode(text, add_special_tokens=False).ids, np.uint32)
-        known, word = self.known, self.word
-        found = [known.get(w) or word(w) for w in _WORDS.findall(text.lower())]
-        return np.fromiter(chain.from_iterable(found), np.uint32)
+            return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        known, word = self.known.get, self.word
+        return b"".join([known(w) or word(w) for w in _WORDS.findall(text.lower())])
+
+    def ids(self, text: str) -> np.ndarray:
+        return np.frombuffer(self.packed(text), "<u4")
 
 
 _TOKENIZERS: dict[str, WordTokenizer] = {}
@@ -83,10 +89,10 @@ def tokenizer(path: str) -> WordTokenizer:
     return _TOKENIZERS[path]
 
 
-def pieces_of(ids: np.ndarray, capacity: int = CAPACITY) -> list[tuple[int, int, int, int]]:
-    """piece, start, length, crc32 of the ids as little-endian 32-bit numbers."""
-    raw = ids.astype("<u4").tobytes()
-    return [(k, a, min(capacity, len(ids) - a), zlib.crc32(raw[4 * a : 4 * (a + capacity)])) for k, a in enumerate(range(0, len(ids), capacity))]
+def pieces_of(packed: bytes, capacity: int = CAPACITY) -> list[tuple[int, int, int, int]]:
+    """piece, start, length, crc32 of ids packed as little-endian 32-bit numbers."""
+    n = len(packed) // 4
+    return [(k, a, min(capacity, n - a), zlib.crc32(packed[4 * a : 4 * (a + capacity)])) for k, a in enumerate(range(0, n, capacity))]
 
 
 # ---- the packing of a histogram -------------------------------------------------------------------------------
@@ -263,13 +269,12 @@ _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part
 
 def _cut(path: str, capacity: int, end: int | None) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = tokenizer(path).ids
+        encode, last = tokenizer(path).packed, b"" if end is None else end.to_bytes(4, "little")
         part, ranks = TaskContext.get().partitionId(), {}
         for b in batches:
             rows = []
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                ids = encode(text or "")
-                for piece in pieces_of(ids if end is None else np.append(ids, np.uint32(end)), capacity):
+                for piece in pieces_of(encode(text or "") + last, capacity):
                     rows.append((doc_id, *piece, part, ranks.get(piece[2], 0)))
                     ranks[piece[2]] = ranks.get(piece[2], 0) + 1
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
