@@ -192,8 +192,10 @@ def transactions(found: DataFrame) -> DataFrame:
     whole = found.where("type = 'response'").groupBy("record_id").agg(F.first("payload_bytes").alias("bytes_"), F.first("payload_digest").alias("digest_")).withColumnRenamed("record_id", "of")
     pages = found.where("type = 'response'").select(F.col("record_id").alias("of"), F.col("concurrent_to").alias("of_capture"))
     ids = nested(["metadata"], "metadata").select(F.col("capture").alias("of_capture"), F.col("metadata.page_id").alias("lead_id"))
-    leads = whole.join(pages.join(ids, "of_capture").groupBy("of").agg(F.min("lead_id").alias("lead_id")), "of")
-    joined = both.join(leads, F.col("response.refers_to") == F.col("of"), "left")
+    # a table of its own, so that the join of many revisits of one response reads plain exchanges, which Spark can split
+    leads = written(whole.join(pages.join(ids, "of_capture").groupBy("of").agg(F.min("lead_id").alias("lead_id")), "of"), "leads")
+    # captures that refer to nothing are dealt by their own identifier, which no response has
+    joined = both.join(leads, F.coalesce("response.refers_to", "capture") == F.col("of"), "left")
     revisit = F.col("response.type") == "revisit"
     return joined.select(
         F.col("metadata.page_id").cast("long").alias("page_id"), F.when(revisit, F.col("bytes_")).otherwise(F.col("response.payload_bytes")).alias("payload_bytes"),
