@@ -103,7 +103,8 @@ def hex_digits(fp: Column) -> Column:
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, with their own columns, that stand for their group: of its smallest id, once."""
     found = written(near_duplicates(docs, id_col, text_col).select("root", "doc_id", "row_key"), "found")
-    best = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key")).alias("best"))
+    # a table of its own: the join of a large group's rows to it then reads a plain exchange, which Spark can split
+    best = written(found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key")).alias("best")), "best")
     rows = found.join(best, "root").select(F.col("doc_id").alias("_bad_id"), F.col("row_key").alias("_bad_key"), (F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("row_key") == F.col("best.row_key"))).alias("stays"))
     rows = written(rows.groupBy("_bad_id", "_bad_key", "stays").count(), "verdicts")
     gone, repeated = rows.where("not stays").drop("stays", "count"), rows.where("stays and count > 1")
