@@ -356,9 +356,9 @@ def test_nelder_mead_and_search(spark):
     data = np.random.default_rng(0).integers(1, 50, (4, 4, 8, 8))
     bf = spark.createDataFrame([(i, 3 + i // 2, 3 + i % 2) for i in range(4)], "bf_idx int, det_row int, det_col int")
     session = ssb.SSB.open(scan_of(spark, data).pixels(), bf, ssb.Geometry(300.0, 20.0, (4, 4), (0.5, 0.5), (7.0, 7.0), (3.5, 3.5)))
-    fit = session.fit(trials=24, max_iter=5)
+    fit = session.fit(trials=12, max_iter=3)
     assert fit.loss <= session.loss([ssb.Aberrations()])[0]
-    assert session.optimize(trials=24).C10_nm == session.optimize(trials=24).C10_nm
+    assert session.optimize(trials=8, batch=4).C10_nm == session.optimize(trials=8, batch=4).C10_nm
     series = ssb.reconstruct_series({"a10": session, "a2": session}, probe_reference="a2", trials=4)
     assert list(series) == ["a2", "a10"]
     assert ssb.series_metrics({k: f for k, (f, _) in series.items()}, spark).count() == 2
