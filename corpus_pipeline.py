@@ -14,6 +14,7 @@ from scanlake.llm.common import scratch_path
 from scanlake.llm.mixing import mixed_documents
 from scanlake.llm.packing import pack_documents
 from scanlake.llm.quality import kept_documents
+from scanlake.llm.similar import similar_documents
 from scanlake.llm.simhash import one_of_each
 
 
@@ -22,7 +23,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return one_of_each(docs)
+    return one_of_each(docs, groups=similar_documents)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ each get a row; extra columns are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -100,9 +100,9 @@ def hex_digits(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs, with their own columns, that stand for their group: of its smallest id, once."""
-    found = written(near_duplicates(docs, id_col, text_col).select("root", "doc_id", "row_key"), "found")
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", groups: Callable[..., DataFrame] = near_duplicates) -> DataFrame:
+    """The rows of docs, with their own columns, that stand for their group: of its smallest id, once. groups gives doc_id, row_key and root."""
+    found = written(groups(docs, id_col, text_col).select("root", "doc_id", "row_key"), "found")
     # a table of its own: the join of a large group's rows to it then reads a plain exchange, which Spark can split
     best = written(found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key")).alias("best")), "best")
     rows = found.join(best, "root").select(F.col("doc_id").alias("_bad_id"), F.col("row_key").alias("_bad_key"), (F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("row_key") == F.col("best.row_key"))).alias("stays"))
