@@ -4,8 +4,8 @@ Lines are normalised (ASCII lower case, digits as 0, white space collapsed) and
 distinct documents of each line are counted, lines above both limits are removed, and documents of which
 less than ``min_kept_share`` of the words is left are rejected.
 
-What counts as one document: rows whose texts have the same min-hash of five-word shingles count once, so
-a group of copies, exact or near, does not make its own text look like boilerplate.
+What counts as one document: rows of the same text count once, by a hash of the whole text, so a group of
+exact copies does not make its own text look like boilerplate. Texts that differ at all are documents of their own.
 
 Defined cases: a null text has no words (base_failed, not kept); a null host is a host of its own; rows
 that repeat an id are judged row by row; extra columns are ignored; an empty table gives an empty result.
@@ -31,7 +31,6 @@ MIN_DOCS, MAX_SHARE, MIN_KEPT_SHARE = 10, 0.005, 0.5
 BROADCAST_ROWS = 1_000_000
 
 _DIGITS = bytes.maketrans(b"123456789", b"000000000")
-_MIX = [np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)]
 
 
 def repeated_words(ids: np.ndarray, n_distinct: int) -> int:
@@ -73,17 +72,7 @@ def document_rules(text: str | None) -> tuple[int, int, int, int, int, int, dict
         own = line.lower().translate(_DIGITS).split()
         h = signed(xxhash.xxh64_intdigest(b" ".join(own)))
         found[h] = found.get(h, 0) + len(own)
-    if n:
-        own = np.fromiter(map(xxhash.xxh64_intdigest, number), np.uint64, len(number))[ids]
-        k = min(5, n)
-        h = sum((own[i : n - k + 1 + i] * _MIX[i] for i in range(k)), np.zeros(n - k + 1, np.uint64))
-        h ^= h >> np.uint64(29)
-        h *= _MIX[0]
-        h ^= h >> np.uint64(32)
-        same = int(h.min())
-    else:
-        same = 0
-    return n, chars, symbols, len(lines) - len(set(lines)), repeated_words(ids, len(number)), signed(same), found
+    return n, chars, symbols, len(lines) - len(set(lines)), repeated_words(ids, len(number)), signed(xxhash.xxh64_intdigest(raw)), found
 
 
 _FEATURES = (
