@@ -172,10 +172,10 @@ def _(spark, d):
 @query("img_10_fft_quality")
 def _(spark, d):
     scan = embeddings_scan(spark, d)
-    # a 40 x 40 mosaic of detector frames, so that the spectrum is large enough
-    px = scan.pixels().where((F.col("scan_row") < 5) & (F.col("scan_col") < 5))
-    img = px.select((F.col("scan_row") * 8 + F.col("det_row")).alias("row"), (F.col("scan_col") * 8 + F.col("det_col")).alias("col"), F.col("n").cast("double").alias("value"))
-    return six(image.fft_quality(image.shifted(image.magnitude(image.fft2(img)), (40, 40)), (40, 40)), "sharp", "snr", "ring", digits=4)
+    # the mosaic of all detector frames
+    shape = scan.scan_shape[0] * 8, scan.scan_shape[1] * 8
+    img = scan.pixels().select((F.col("scan_row") * 8 + F.col("det_row")).alias("row"), (F.col("scan_col") * 8 + F.col("det_col")).alias("col"), F.col("n").cast("double").alias("value"))
+    return six(image.fft_quality(image.shifted(image.magnitude(image.fft2(img)), shape), shape), "sharp", "snr", "ring", digits=4)
 
 
 _PASS = _FFT + f""", q AS (SELECT u, w, value_re, value_im, least(1, sqrt(power(least(u, {_N} - u) / ({_N} / 2e0), 2) + power(least(w, 25 - w) / 12.5e0, 2))) AS r FROM f),
