@@ -1,5 +1,6 @@
 """Quality rules, near-duplicates, mixing and packing against brute force, and their defined cases."""
 
+import itertools
 import random
 from collections import Counter, defaultdict
 
@@ -255,13 +256,46 @@ def fewest(lengths, capacity):
     return best[0]
 
 
-@settings(max_examples=150, deadline=None)
-@given(st.lists(st.integers(1, 30), min_size=0, max_size=9))
-def test_pack_is_optimal_on_small_sets(lengths):
+@settings(max_examples=400, deadline=None)
+@given(st.integers(4, 30).flatmap(lambda room: st.tuples(st.just(room), st.lists(st.integers(1, room), max_size=10) | st.lists(st.integers(max(1, room // 6), max(1, room // 2)), max_size=11))))
+def test_pack_is_optimal_on_small_sets(case):
+    capacity, lengths = case
     counts = Counter(lengths)
-    n = valid(packing.pack(counts, 30), counts, 30)
-    want = fewest(sorted(lengths, reverse=True), 30)
-    assert packing.lower_bound(counts, 30) <= want <= n <= want + (n > 3)
+    n = valid(packing.pack(counts, capacity, 1_000_000), counts, capacity)
+    assert packing.lower_bound(counts, capacity) <= n == fewest(sorted(lengths, reverse=True), capacity)
+
+
+def replaceable(filling, counts, room):
+    """Whether some of the filling's lengths can make way for one that is left over, as long as they and fitting."""
+    left = Counter(counts)
+    left.subtract(filling)
+    spare = room - sum(filling)
+    parts = [c for k in range(3) for c in itertools.combinations(range(len(filling)), k)]
+    return any(n > 0 and sum(filling[i] for i in c) + (len(c) == 1) <= y <= sum(filling[i] for i in c) + spare for y, n in left.items() for c in parts)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.integers(1, 14), st.lists(st.integers(1, 14), max_size=8))
+def test_fillings_are_the_undominated_sets(room, lengths):
+    counts = Counter(lengths)
+    got = [f for f in packing.fillings(sorted(counts), counts, room) if f is not None]
+    every = {tuple(sorted(c, reverse=True)) for k in range(len(lengths) + 1) for c in itertools.combinations(lengths, k) if sum(c) <= room}
+    want = {f for f in every if not replaceable(f, counts, room)}
+    if counts[room]:  # one length alone stands for all
+        want = {(room,)}
+    assert sorted(got) == sorted(want) and [sum(f) for f in got] == sorted((sum(f) for f in got), reverse=True)
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.sampled_from(["abc 12 ", "é中文 ", "́ſ ß", "<|endoftext|>", "don't\n", "Σα σ ", "x"]), max_size=60))
+def test_long_texts_in_parts(words, some):
+    text = "".join(some)
+    packing.CHUNK, was = 40, packing.CHUNK
+    try:
+        assert "".join(packing.parts_of(text)) == text
+        assert words.ids(text).tolist() == words.whole.encode(text, add_special_tokens=False).ids
+    finally:
+        packing.CHUNK = was
 
 
 def test_bin_completion_beats_best_fit():
