@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: Rows and bytes of one Arrow batch at most: texts can be long, so batches are kept short to bound memory.
 BATCH_ROWS, BATCH_BYTES = 512, 8 << 20
+#: Bytes read for each partition of a written table at least.
+PART_BYTES = 32 << 20
 #: The words of the corpus contracts are runs of other characters than these six.
 SPACES = " \t\n\x0b\x0c\r"
 
@@ -22,6 +24,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or an own one where that is unset (local runs)."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = f"file://{tempfile.mkdtemp(prefix='scanlake-')}"
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -34,10 +38,19 @@ def scratch_path(spark: SparkSession, tag: str) -> str:
     return path
 
 
+def fewer_parts(df: DataFrame) -> DataFrame:
+    """df in a partition for each PART_BYTES of what it reads at most, without a shuffle; four for each core stay in any case.
+
+    Many small files cost each executor more than their rows: Hadoop's local file system starts a process for each."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    read = sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
+    return df.coalesce(min(max(4 * df.sparkSession.sparkContext.defaultParallelism, read // PART_BYTES), (1 << 31) - 1))
+
+
 def written(df: DataFrame, tag: str) -> DataFrame:
     """The rows of df from a Parquet table in the shared folder: lineage ends there, and lost executors lose nothing."""
     spark = df.sparkSession
-    df.write.parquet(path := scratch_path(spark, tag))
+    fewer_parts(df).write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path := scratch_path(spark, tag))
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -18,7 +18,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import written
+from .common import fewer_parts, written
 
 WEIGHTS, MAX_REPEATS = (1, 2, 3), 3
 #: Bits of one digit, and digits of the first and the second hash.
@@ -120,7 +120,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 def mixed_documents(docs: DataFrame, **asked) -> DataFrame:
     """The rows of docs, with their own columns, as often as the mix takes them."""
     taken = mix(docs, carry=True, **asked).where("taken > 0")
-    return taken.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times")))).select("row.*")
+    return fewer_parts(taken.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times")))).select("row.*"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -35,7 +35,7 @@ from .common import arrow_map, fewer_parts, written
 CAPACITY, END = 2048, 0
 MAX_NODES = 6000
 #: Bytes of words and their ids that a worker keeps, twice: those of late, and those before them.
-CACHE_BYTES, WORD_OVERHEAD = 32 << 20, 240
+CACHE_BYTES, WORD_OVERHEAD = 64 << 20, 240
 #: Characters of a text that are tokenized at a time, but for what follows up to a space to cut at.
 CHUNK = 1 << 16
 

@@ -2,13 +2,15 @@
 
 Lines are normalised (ASCII lower case, digits as 0, white space collapsed) and hashed; per host the
 distinct documents of each line are counted, lines above both limits are removed, and documents of which
-less than ``min_kept_share`` of the words is left are rejected.
+less than ``min_kept_share`` of the words is left are rejected. ``quality_rules`` gives the verdicts,
+``kept_documents`` the documents that stay, without the lines removed.
 
 What counts as one document: rows of the same text count once, by a hash of the whole text, so a group of
 exact copies does not make its own text look like boilerplate. Texts that differ at all are documents of their own.
 
 Defined cases: a null text has no words (base_failed, not kept); a null host is a host of its own; rows
-that repeat an id are judged row by row; extra columns are ignored; an empty table gives an empty result.
+that repeat an id are judged row by row; extra columns stay as they are, whatever their names; an empty table
+gives an empty result. Lines are cut at "\n" alone; a line without a word is never removed.
 """
 
 from __future__ import annotations
@@ -18,19 +20,22 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import arrow_map, row_key, signed, written
+from .common import arrow_map, fewer_parts, row_key, signed, written
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 SYMBOLS = "#*$%&|<>"
 #: A line is removed if it stands in more distinct documents of its host than MIN_DOCS and than MAX_SHARE of them.
 MIN_DOCS, MAX_SHARE, MIN_KEPT_SHARE = 10, 0.005, 0.5
-#: Rejected rows up to this number (16 bytes each) are broadcast; more are joined by a shuffle.
+#: Changed documents are broadcast while they and their removed lines are up to this number (16 bytes each); more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 
 _DIGITS = bytes.maketrans(b"123456789", b"000000000")
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ123456789", "abcdefghijklmnopqrstuvwxyz000000000"
+#: The seed of Spark's xxhash64, so that a line has the same hash in Python and in SQL.
+SEED = 42
 
 
 def repeated_words(ids: np.ndarray, n_distinct: int) -> int:
@@ -70,7 +75,7 @@ def document_rules(text: str | None) -> tuple[int, int, int, int, int, int, dict
     found: dict[int, int] = {}
     for line in lines:
         own = line.lower().translate(_DIGITS).split()
-        h = signed(xxhash.xxh64_intdigest(b" ".join(own)))
+        h = signed(xxhash.xxh64_intdigest(b" ".join(own), SEED))
         found[h] = found.get(h, 0) + len(own)
     return n, chars, symbols, len(lines) - len(set(lines)), repeated_words(ids, len(number)), signed(xxhash.xxh64_intdigest(raw)), found
 
@@ -111,29 +116,51 @@ def line_limits(lines: DataFrame, sizes: DataFrame, min_docs: int, max_share: fl
     return some.alias("l").join(over.alias("o"), F.col("l.host").eqNullSafe(F.col("o.host")) & (F.col("l.h") == F.col("o.h"))).select("l.*")
 
 
-def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE, min_kept_share: float = MIN_KEPT_SHARE) -> DataFrame:
-    """A row for each row of docs: doc_id, row_key, the base counts, base_failed, removed_words, kept."""
+def line_hash(line: Column) -> Column:
+    """The hash that document_rules gives a line; null for a line without a word."""
+    words = F.trim(F.regexp_replace(F.translate(line, _UPPER, _LOWER), "[ \\t\\n\\x0B\\f\\r]+", " "))
+    return F.when(words != "", F.xxhash64(words))
+
+
+def _judged(docs: DataFrame, id_col: str, text_col: str, host_col: str, min_docs: int, max_share: float, min_kept_share: float) -> DataFrame:
+    """The rows of quality_rules, with gone: the hashes of the lines removed (null if none)."""
     asked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(host_col).cast("string").alias("host"), row_key(host_col, text_col).alias("row_key"), F.col(text_col).cast("string").alias("text"))
     made = written(arrow_map(asked, _features, _FEATURES).withColumn("uid", F.monotonically_increasing_id()), "features")
     lines = made.select("host", "uid", "identity", F.explode("lines").alias("x")).select("host", "uid", "identity", "x.h", "x.words")
     sizes = made.groupBy("host").agg(F.countDistinct("identity").alias("n_docs"))
-    removed = line_limits(lines, sizes, min_docs, max_share).groupBy("uid").agg(F.sum("words").alias("removed"))
-    gone = F.coalesce(F.col("removed"), F.lit(0))
+    # a list holds lines of one document only
+    removed = line_limits(lines, sizes, min_docs, max_share).groupBy("uid").agg(F.sum("words").alias("removed"), F.collect_list("h").alias("gone"))
+    n_gone = F.coalesce(F.col("removed"), F.lit(0))
     return (
         made.drop("lines", "identity", "host")
         .join(removed, "uid", "left")
-        .select("doc_id", "row_key", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", gone.alias("removed_words"), (~F.col("base_failed") & (F.col("n_words") - gone >= min_kept_share * F.col("n_words"))).alias("kept"))
+        .select("doc_id", "row_key", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", n_gone.alias("removed_words"), (~F.col("base_failed") & (F.col("n_words") - n_gone >= min_kept_share * F.col("n_words"))).alias("kept"), "gone")
     )
 
 
-def kept_documents(docs: DataFrame, **rules) -> DataFrame:
-    """The rows of docs, with their own columns, that the rules keep. Texts stay as they are."""
-    id_col, text_col, host_col = rules.get("id_col", "doc_id"), rules.get("text_col", "text"), rules.get("host_col", "source")
-    out = written(quality_rules(docs, **rules).where(~F.col("kept")).select(F.col("doc_id").alias("_bad_id"), F.col("row_key").alias("_bad_key")).distinct(), "rejected")
-    if out.count() <= BROADCAST_ROWS:
-        out = F.broadcast(out)
-    key = docs.withColumn("_scanlake_row_key", row_key(host_col, text_col))
-    return key.join(out, key[id_col].cast("long").eqNullSafe(out["_bad_id"]) & (key["_scanlake_row_key"] == out["_bad_key"]), "left_anti").drop("_scanlake_row_key")
+def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE, min_kept_share: float = MIN_KEPT_SHARE) -> DataFrame:
+    """A row for each row of docs: doc_id, row_key, the base counts, base_failed, removed_words, kept."""
+    return _judged(docs, id_col, text_col, host_col, min_docs, max_share, min_kept_share).drop("gone")
+
+
+def kept_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", chars_col: str | None = "n_chars", min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE, min_kept_share: float = MIN_KEPT_SHARE) -> DataFrame:
+    """The rows of docs, with their own columns, that the rules keep, without their lines above the limits.
+
+    chars_col, if docs has it, is counted anew where lines are removed."""
+    judged = _judged(docs, id_col, text_col, host_col, min_docs, max_share, min_kept_share).where("not kept or gone is not null")
+    # equal rows have equal verdicts
+    judged = judged.select(F.col("doc_id").alias("_bad_id"), F.col("row_key").alias("_bad_key"), F.col("kept").alias("_kept"), F.when(F.col("kept"), F.array_sort("gone")).alias("_gone"))
+    changed = written(judged.groupBy("_bad_id", "_bad_key").agg(F.first("_kept").alias("_kept"), F.first("_gone").alias("_gone")), "changed")
+    if (changed.agg(F.sum(1 + F.greatest(F.size("_gone"), F.lit(0)))).first()[0] or 0) <= BROADCAST_ROWS:
+        changed = F.broadcast(changed)
+    keyed = docs.withColumn("_scanlake_row_key", row_key(host_col, text_col))
+    rows = keyed.join(changed, keyed[id_col].cast("long").eqNullSafe(changed["_bad_id"]) & (keyed["_scanlake_row_key"] == changed["_bad_key"]), "left").where("_kept is null or _kept")
+    left = F.array_join(F.filter(F.split(F.col(text_col), "\n", -1), lambda x: ~F.coalesce(F.array_contains("_gone", line_hash(x)), F.lit(False))), "\n")
+    changes = {text_col: F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(left)}
+    rows = rows.withColumns(changes)
+    if chars_col in docs.columns:
+        rows = rows.withColumn(chars_col, F.when(F.col("_gone").isNull(), F.col(chars_col)).otherwise(F.length(text_col).cast(docs.schema[chars_col].dataType)))
+    return fewer_parts(rows.select(*docs.columns))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

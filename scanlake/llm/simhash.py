@@ -24,7 +24,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import arrow_map, row_key, signed, written
+from .common import arrow_map, fewer_parts, row_key, signed, written
 from .components import components
 
 #: RADIUS is fixed: shared one-bit neighbours mean a distance of two at most.
@@ -93,7 +93,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     labels = components(links(fps.select("fp")))
     rooted = written(fps.join(labels, fps["fp"] == labels["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "rooted")
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return made.join(rooted.select("fp", "root").join(named, "root"), "fp")
+    return fewer_parts(made.join(rooted.select("fp", "root").join(named, "root"), "fp"))
 
 
 def hex_digits(fp: Column) -> Column:
@@ -114,7 +114,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     kept = keyed.join(gone, keyed[id_col].cast("long").eqNullSafe(gone["_bad_id"]) & (keyed["_scanlake_row_key"] == gone["_bad_key"]), "left_anti")
     if not repeated.isEmpty():
         kept = kept.dropDuplicates([id_col, "_scanlake_row_key"])
-    return kept.drop("_scanlake_row_key")
+    return fewer_parts(kept.drop("_scanlake_row_key"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

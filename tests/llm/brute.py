@@ -2,6 +2,7 @@
 
 import re
 import zlib
+from collections import Counter
 
 import xxhash
 
@@ -12,9 +13,10 @@ def base_rules(text):
     text = text or ""
     words = WORD.findall(text)
     windows = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
-    marked = {j for i, w in enumerate(windows) if windows.count(w) > 1 for j in range(i, i + 3)}
-    lines = [x for x in text.split("\n") if WORD.search(x)]
-    dup = sum(x in lines[:i] for i, x in enumerate(lines))
+    times = Counter(windows)
+    marked = {j for i, w in enumerate(windows) if times[w] > 1 for j in range(i, i + 3)}
+    lines = Counter(x for x in text.split("\n") if WORD.search(x))
+    dup = sum(n - 1 for n in lines.values())
     failed = len(words) < 50 or 100 * len(marked) > 50 * len(words)
     return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), dup, len(marked), failed
 
@@ -53,3 +55,24 @@ def component_ids(rows):
 
 def crc(ids):
     return zlib.crc32(b"".join(int(i).to_bytes(4, "little") for i in ids))
+
+
+def similar_groups(texts, shingle=5, similarity=0.8):
+    """For each text the number of its component, over all pairs whose sets of word shingles have the similarity."""
+    sets = []
+    for t in texts:
+        words = WORD.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
+        k = min(shingle, len(words))
+        sets.append({tuple(words[i : i + k]) for i in range(len(words) - k + 1)} if words else set())
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if a == sets[j] or len(a & sets[j]) >= similarity * len(a | sets[j]):
+                root[find(i)] = find(j)
+    return [find(i) for i in range(len(texts))]

@@ -40,8 +40,7 @@ def test_base_rules_as_brute_force(spark):
     got = {r.doc_id: r for r in quality.query(spark, SF).collect()}
     for i, text, _ in texts():
         r = got[i]
-        if len(text) < 6000:
-            assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == brute.base_rules(text)
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == brute.base_rules(text)
 
 
 @settings(max_examples=200, deadline=None)
@@ -65,7 +64,49 @@ def test_lines_above_limits_deplete(spark):
     got = {r.doc_id: r for r in quality.quality_rules(odd_documents(spark, rows)).collect()}
     assert all(got[100 + i].removed_words == 90 and got[100 + i].kept == (i % 4 != 0) for i in range(40))
     assert all(got[500 + i].kept and got[500 + i].removed_words == 0 for i in range(50))
-    assert {r.doc_id for r in quality.kept_documents(odd_documents(spark, rows)).collect() if (r.doc_id or 0) >= 100} == {i for i in got if (i or 0) >= 100 and got[i].kept}
+    left = {r.doc_id: r.text for r in quality.kept_documents(odd_documents(spark, rows)).collect() if (r.doc_id or 0) >= 100}
+    assert set(left) == {i for i in got if (i or 0) >= 100 and got[i].kept}
+    assert not any(line in text for line in boiler for text in left.values())
+
+
+def normal(line):
+    return " ".join(brute.WORD.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else "0" if c in "123456789" else c for c in line)))
+
+
+def removal_by_hand(rows, min_docs, max_share):
+    """rows: id, text, host. For each row: words removed, the text left, and whether enough words are left."""
+    stands, docs = defaultdict(set), defaultdict(set)
+    for _, text, host in rows:
+        docs[host].add(text or "")
+        for line in (text or "").split("\n"):
+            stands[host, normal(line)].add(text)
+    out = []
+    for i, text, host in rows:
+        over = lambda x: normal(x) and len(stands[host, normal(x)]) > max(min_docs, max_share * len(docs[host]))  # noqa: B023, E731
+        lines = (text or "").split("\n")
+        removed = sum(len(normal(x).split(" ")) for x in lines if over(x))
+        n = len(brute.WORD.findall(text or ""))
+        out.append((i, removed, text and "\n".join(x for x in lines if not over(x)), n - removed >= 0.5 * n))
+    return out
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_removed_lines_as_brute_force(spark, seed):
+    rng = random.Random(seed)
+    words = ["Ab", "ab", "x1", "x2", "é", "\x85", "Q"]
+    line = lambda: rng.choice([" ", "", "\t"]) + rng.choice([" ", "  ", "\x0b"]).join(rng.choice(words) for _ in range(rng.randint(0, 2))) + rng.choice(["", " ", "\r"])
+    rows = [(i, rng.choice([None, ""]) if rng.random() < 0.05 else "\n".join(line() for _ in range(rng.randint(1, 5))) + "\n" + " ".join(f"u{i}w{j}" for j in range(rng.choice([0, 1, 40, 60]))), rng.choice(["a", "b", None])) for i in range(150)]
+    rows += [(i + 1000, t, h) for i, t, h in rows if rng.random() < 0.3]  # copies count once
+    docs = spark.createDataFrame([(i, t, "en", h, -1, "k", "z", "h", "f") for i, t, h in rows], DOCS)
+    asked = {"min_docs": 3, "max_share": 0.06}
+    got = {r.doc_id: r for r in quality.quality_rules(docs, **asked).collect()}
+    want = removal_by_hand(rows, 3, 0.06)
+    assert len({w[1] for w in want}) > 3
+    for i, removed, _, enough in want:
+        assert (got[i].removed_words, got[i].kept) == (removed, enough and not got[i].base_failed)
+    left = {r.doc_id: r for r in quality.kept_documents(docs, **asked).collect()}
+    assert {i: t for i, _, t, _ in want if got[i].kept} == {i: r.text for i, r in left.items()}
+    assert all(r.n_chars == (len(r.text) if got[i].removed_words else -1) and r.kept == "k" and r.h1 == "h" for i, r in left.items())
 
 
 def test_quality_defined_cases(spark):
@@ -343,19 +384,3 @@ def test_packing_defined_cases(spark, words):
     assert packing.pack_documents(empty(spark), path).count() == 0
 
 
-# ---- the pipeline
-
-def test_pipeline_is_its_stages(spark):
-    import corpus_pipeline
-
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    kept = {r.doc_id for r in quality.query(spark, SF).collect() if r.kept}
-    first = corpus_pipeline.quality(spark, docs, SF)
-    assert {r.doc_id for r in first.collect()} == kept and first.columns == docs.columns
-    want = brute.component_ids([(i, brute.fingerprint(t)) for i, t, _ in texts() if i in kept])
-    second = corpus_pipeline.near_dedup(spark, first, SF)
-    assert sorted(r.doc_id for r in second.collect()) == sorted({c for *_, c in want})
-    third = corpus_pipeline.mix(spark, second, SF)
-    assert Counter(r.doc_id for r in third.collect()) == Counter({r.doc_id: r.times for r in mixing.mix(second).collect() if r.taken})
-    words_in = sum(r.length for r in corpus_pipeline.pack(spark, third, SF).collect())
-    assert words_in == sum(r.length for r in corpus_pipeline.run(spark, SF).collect()) > 0
