@@ -1,8 +1,13 @@
 """Quality rules, near-duplicates, mix and packing, one after another over ``documents``.
 
-Each stage takes the whole of what the stage before kept, as written Parquet. Rejected documents go, one
-document of each near-duplicate group stays, the mix repeats or drops documents, and the last stage returns
-the packed pieces. Texts are never changed.
+Each stage takes the whole of what the stage before kept, as written Parquet. Rejected documents go and the others
+lose the lines above the limits; one document of each near-duplicate group stays, of the smallest id; the mix repeats
+or drops documents, and the last stage returns the packed pieces.
+
+Defined cases: a null, empty or wordless text fails the base rules, so it goes in the first stage; a null source is a
+source of its own; rows that repeat an id are documents of their own unless their texts are similar; a null id counts
+as the largest; columns beside id, text, source and n_chars pass through as they are, whatever their names; long texts
+are taken whole; an empty table, or one of nulls only, gives no pieces.
 """
 
 from __future__ import annotations
