@@ -5,14 +5,17 @@ Candidates come from min-hashes in bands of ROWS: a pair of similarity s shares
 a probability of MISSED at most. Candidates are checked on their whole shingle sets, so no pair below the
 threshold is linked.
 
-Work is on distinct word sequences. Components need no pair inside a component that is known already: first
-each band's members are held against one of them, then against another, and at last every pair of a band
-whose members are still in different components is checked. No pair that could join two components is left out.
+Work is on distinct word sequences. In bands of at most SMALL members every pair is a candidate. In larger ones the
+members are first held against two of them, which joins true groups in rows that grow with the members alone.
+Members of larger bands that are still in different components then meet by prefixes: their shingles are ordered
+by how many of these members have them, rarest first, and sets of similarity s share one of the first
+n - ceil(s n) + 1 of both. Texts that are much alike but below the threshold thus don't meet at what all of
+them have. Where many members of one component share such a shingle, only members of others are held against
+them. No pair that could join two components is left out.
 
 Before sets are fetched, pairs meet a bound that holds for certain: a set's sketch has the parity of its hashes
 at SKETCH places, so two sketches differ in no more places than the sets differ in shingles, and sets of
-similarity s differ in (1 - s) / (1 + s) of their sizes' sum at most. In a band of many texts that are alike
-but below the threshold, the sketches of each pair are still compared, which costs no rows but time.
+similarity s differ in (1 - s) / (1 + s) of their sizes' sum at most.
 
 Defined cases: null and wordless texts are one group; fewer words than a shingle make one shingle; repeated
 rows each get a row; extra columns are ignored; an empty table gives an empty result.
@@ -26,7 +29,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import arrow_map, row_key, signed, written
 from .components import components
@@ -37,6 +40,8 @@ ROWS, MISSED = 3, 1e-8
 BROADCAST_ROWS = 1_000_000
 
 _ODD = [np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
+#: Members of a band up to which every pair is a candidate.
+SMALL = 8
 #: Places of a sketch; its bits lie in longs.
 SKETCH = 512
 _LONGS = [f"s{i}" for i in range(SKETCH // 64)]
@@ -134,33 +139,58 @@ def alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return found.where(both / (F.size("x.grams") + F.size("y.grams") - both) >= similarity).select("a", "b")
 
 
-def labels_of(rows: DataFrame, sets: DataFrame, similarity: float) -> DataFrame | None:
-    """rows: band, node, n and sketch, of bands with two nodes or more. Returns node, root as components() does; None without links."""
-    edges = labels = tried = None
-    own = ["node", "n", *_LONGS]
+_OWN = ["node", "n", *_LONGS]
+
+
+def _met(pairs: DataFrame, similarity: float) -> DataFrame:
+    """a, b of the joined sides x and y, those whose sketches allow the similarity."""
     apart = sum((F.bit_count(F.col(f"x.{s}").bitwiseXOR(F.col(f"y.{s}"))) for s in _LONGS), F.lit(0))
     near = apart <= (F.col("x.n") + F.col("y.n")) * ((1 - similarity) / (1 + similarity)) + 1e-6
-    for pivot in ("node", "xxhash64(node)", None):
-        now = rows.withColumn("label", F.col("node"))
-        if labels is not None:
-            now = rows.join(labels.select(F.col("node").alias("_node"), "root"), F.col("node") == F.col("_node"), "left").select("band", *own, F.coalesce("root", "node").alias("label"))
-        split = now.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("band")
-        now = written(now.join(split, "band"), "open")
-        if now.isEmpty():
-            break
-        other = now if pivot is None else now.groupBy("band").agg(F.min(F.struct(F.expr(pivot).alias("at"), *own, "label")).alias("p")).select("band", *[f"p.{c}" for c in (*own, "label")])
-        once = F.lit(True) if pivot else F.col("x.node") < F.col("y.node")
-        meet = now.alias("x").join(other.alias("y"), "band").where(once & (F.col("x.label") != F.col("y.label")) & near)
-        pairs = meet.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = written(pairs, "pairs")
-        tried = pairs if tried is None else tried.union(pairs)
-        fresh = written(alike(pairs, sets, similarity), "alike")
-        if not fresh.isEmpty():
-            edges = fresh if edges is None else edges.union(fresh)
-            labels = components(edges)
-    return labels
+    return pairs.where(near).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+
+
+def _open_members(many: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """The nodes, with their labels, of the bands whose members have different ones."""
+    now = many.withColumn("label", F.col("node"))
+    if labels is not None:
+        now = many.join(labels.select(F.col("node").alias("_node"), "root"), F.col("node") == F.col("_node"), "left").select("band", *_OWN, F.coalesce("root", "node").alias("label"))
+    now = written(now, "labelled")
+    split = written(now.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("band"), "split")
+    return written(now.join(split, "band").select(*_OWN, "label").distinct(), "open")
+
+
+def _by_prefix(nodes: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Candidates among the nodes, of different labels, that share a shingle of both prefixes."""
+    grams = written(nodes.select("node").join(sets.select("node", F.explode("grams").alias("gram")), "node"), "grams")
+    often = grams.groupBy("gram").agg(F.count("*").alias("often"))
+    order = Window.partitionBy("node").orderBy("often", "gram")
+    first = grams.join(often, "gram").select("node", "gram", F.row_number().over(order).alias("place"))
+    first = first.join(nodes, "node").where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * similarity - 1e-9) + 1)
+    first = written(first.select("gram", *_OWN, "label"), "prefixes")
+    tops = first.groupBy("gram", "label").agg(F.count("*").alias("n")).groupBy("gram").agg(F.max(F.struct("n", "label")).alias("top"), F.count("*").alias("labels")).where("labels > 1")
+    tops = written(tops.select("gram", F.col("top.label").alias("lead")), "leads")
+    first = written(first.join(tops, "gram"), "postings")
+    return _met(first.where("label <> lead").alias("x").join(first.alias("y"), "gram").where("x.label <> y.label"), similarity)
+
+
+def labels_of(rows: DataFrame, sets: DataFrame, similarity: float, small: int = SMALL) -> DataFrame | None:
+    """rows: band, node, n and sketch, of bands with two nodes or more. Returns node, root as components() does; None without links."""
+    named = F.struct(*_OWN)
+    sizes = written(rows.groupBy("band").agg(F.count("*").alias("members"), F.min(named).alias("low"), F.min(F.struct(F.xxhash64("node").alias("at"), named.alias("own"))).alias("any")), "bands")
+    few = rows.join(sizes.where(F.col("members") <= small).select("band"), "band")
+    many = written(rows.join(sizes.where(F.col("members") > small).select("band"), "band"), "members")
+    # a table of its own, so that a large band's members are dealt by a plain exchange, which Spark can split
+    held = written(sizes.where(F.col("members") > small).select("band", F.explode(F.array_distinct(F.array("low", "any.own"))).alias("p")).select("band", "p.*"), "held")
+    pairs = _met(few.alias("x").join(few.alias("y"), "band").where("x.node < y.node"), similarity)
+    pairs = written(pairs.union(_met(many.alias("x").join(held.alias("y"), "band").where("x.node <> y.node"), similarity)).distinct(), "pairs")
+    edges = written(alike(pairs, sets, similarity), "alike")
+    labels = None if edges.isEmpty() else written(components(edges), "labels")
+    nodes = _open_members(many, labels)
+    if nodes.isEmpty():
+        return labels
+    more = written(_by_prefix(nodes, sets, similarity).join(pairs, ["a", "b"], "left_anti"), "pairs")
+    found = written(alike(more, sets, similarity), "alike")
+    return labels if found.isEmpty() else components(edges.union(found))
 
 
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:

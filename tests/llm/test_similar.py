@@ -73,8 +73,33 @@ def wanted(rows):
     return sorted(map(sorted, found.values()))
 
 
+def alike_below():
+    """A large band: 60 texts that share two thirds, of which some pairs are similar, and 40 copies with one word changed."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    shared, rows = [word() for _ in range(60)], []
+    for _ in range(30):
+        own = [word() for _ in range(30)]
+        near = list(own)
+        near[rng.randrange(30)] = word()
+        rows += [shared + own, shared + near]
+    for _ in range(40):
+        near = list(shared)
+        near[rng.randrange(60)] = word()
+        rows.append(near)
+    return [(5000 + i, " ".join(r)) for i, r in enumerate(rows)]
+
+
+@pytest.mark.parametrize("small", [2, 8, 1000])
+def test_large_bands_leave_no_pair_out(spark, monkeypatch, small):
+    monkeypatch.setattr(similar.labels_of, "__defaults__", (small,))
+    rows = alike_below() + planted()[:40]
+    docs = spark.createDataFrame([(i, t, "s") for i, t in rows], DOCS)
+    assert grouped(similar.similar_documents(docs).collect()) == wanted(rows)
+
+
 def test_every_similar_pair_is_linked(spark):
-    rows = planted() + [(1, None), (2, " \t"), (3, ""), (4, "one two"), (5, "One  TWO"), (6, "two one")]
+    rows = planted() + alike_below() + [(1, None), (2, " \t"), (3, ""), (4, "one two"), (5, "One  TWO"), (6, "two one")]
     docs = spark.createDataFrame([(i, t, "s") for i, t in rows], DOCS)
     assert grouped(similar.similar_documents(docs).collect()) == wanted(rows)
     assert similar.similar_documents(docs.limit(0)).count() == 0
