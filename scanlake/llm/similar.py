@@ -6,8 +6,9 @@ a probability of MISSED at most. Candidates are checked on their whole shingle s
 threshold is linked.
 
 Work is on distinct word sequences. In bands of at most SMALL members every pair is a candidate. In larger ones the
-members are first held against two of them, which joins true groups in rows that grow with the members alone.
-Members of larger bands that are still in different components then meet by prefixes: their shingles are ordered
+members are first held against two of them, then those outside the band's largest component against one member of
+it, another one in each band; this joins true groups in rows that grow with the members alone.
+Members of larger bands that are still in different components at last meet by prefixes: their shingles are ordered
 by how many of these members have them, rarest first, and sets of similarity s share one of the first
 n - ceil(s n) + 1 of both. Texts that are much alike but below the threshold thus don't meet at what all of
 them have. Where many members of one component share such a shingle, only members of others are held against
@@ -122,7 +123,7 @@ def _sets(shingle: int) -> Callable:
             for i, text in enumerate(b.column(1).to_pylist()):  # a row at a time: a set is larger than its text
                 h = shingle_hashes(words_of(text), shingle)
                 grams, bits = pa.array([h.view(np.int64)], pa.list_(pa.int64())), [pa.array([x], pa.int64()) for x in sketch(h)]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, 1), grams, *bits], names=["node", "grams", *_LONGS])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, 1), pa.array([len(h)], pa.int64()), grams, *bits], names=["node", "n", "grams", *_LONGS])
 
     return run
 
@@ -139,58 +140,73 @@ def alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return found.where(both / (F.size("x.grams") + F.size("y.grams") - both) >= similarity).select("a", "b")
 
 
-_OWN = ["node", "n", *_LONGS]
+def _pair(on: DataFrame) -> DataFrame:
+    """a, b of the joined sides x and y."""
+    return on.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
 
 
-def _met(pairs: DataFrame, similarity: float) -> DataFrame:
-    """a, b of the joined sides x and y, those whose sketches allow the similarity."""
+def _near(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs whose sketches allow the similarity."""
+    own = sets.select("node", "n", *_LONGS)
     apart = sum((F.bit_count(F.col(f"x.{s}").bitwiseXOR(F.col(f"y.{s}"))) for s in _LONGS), F.lit(0))
     near = apart <= (F.col("x.n") + F.col("y.n")) * ((1 - similarity) / (1 + similarity)) + 1e-6
-    return pairs.where(near).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+    return pairs.join(own.alias("x"), F.col("a") == F.col("x.node")).join(own.alias("y"), F.col("b") == F.col("y.node")).where(near).select("a", "b")
 
 
 def _open_members(many: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """The nodes, with their labels, of the bands whose members have different ones."""
+    """band, node, label of the bands whose members have different labels."""
     now = many.withColumn("label", F.col("node"))
     if labels is not None:
-        now = many.join(labels.select(F.col("node").alias("_node"), "root"), F.col("node") == F.col("_node"), "left").select("band", *_OWN, F.coalesce("root", "node").alias("label"))
+        now = many.join(labels.select(F.col("node").alias("_node"), "root"), F.col("node") == F.col("_node"), "left").select("band", "node", F.coalesce("root", "node").alias("label"))
     now = written(now, "labelled")
     split = written(now.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("band"), "split")
-    return written(now.join(split, "band").select(*_OWN, "label").distinct(), "open")
+    return written(now.join(split, "band"), "open")
 
 
-def _by_prefix(nodes: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Candidates among the nodes, of different labels, that share a shingle of both prefixes."""
-    grams = written(nodes.select("node").join(sets.select("node", F.explode("grams").alias("gram")), "node"), "grams")
+def _by_lead(members: DataFrame) -> DataFrame:
+    """Candidates between a band's members and one of its largest component, another one in each band."""
+    one = F.min(F.struct(F.xxhash64("node", "band").alias("at"), "node")).alias("one")
+    tops = members.groupBy("band", "label").agg(F.count("*").alias("n"), one).groupBy("band").agg(F.max(F.struct("n", "label", "one.node")).alias("top"))
+    tops = written(tops.select("band", F.col("top.label").alias("lead"), F.col("top.node").alias("node")), "leads")
+    return _pair(members.alias("x").join(tops.alias("y"), "band").where("label <> lead"))
+
+
+def _by_prefix(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Candidates among the members, of different labels, that share a shingle of both prefixes."""
+    nodes = members.select("node", "label").distinct()
+    grams = written(nodes.join(sets.select("node", "n", F.explode("grams").alias("gram")), "node"), "grams")
     often = grams.groupBy("gram").agg(F.count("*").alias("often"))
     order = Window.partitionBy("node").orderBy("often", "gram")
-    first = grams.join(often, "gram").select("node", "gram", F.row_number().over(order).alias("place"))
-    first = first.join(nodes, "node").where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * similarity - 1e-9) + 1)
-    first = written(first.select("gram", *_OWN, "label"), "prefixes")
+    first = grams.join(often, "gram").withColumn("place", F.row_number().over(order)).where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * similarity - 1e-9) + 1)
+    first = written(first.select("gram", "node", "label"), "prefixes")
     tops = first.groupBy("gram", "label").agg(F.count("*").alias("n")).groupBy("gram").agg(F.max(F.struct("n", "label")).alias("top"), F.count("*").alias("labels")).where("labels > 1")
     tops = written(tops.select("gram", F.col("top.label").alias("lead")), "leads")
     first = written(first.join(tops, "gram"), "postings")
-    return _met(first.where("label <> lead").alias("x").join(first.alias("y"), "gram").where("x.label <> y.label"), similarity)
+    return _pair(first.where("label <> lead").alias("x").join(first.alias("y"), "gram").where("x.label <> y.label"))
 
 
 def labels_of(rows: DataFrame, sets: DataFrame, similarity: float, small: int = SMALL) -> DataFrame | None:
-    """rows: band, node, n and sketch, of bands with two nodes or more. Returns node, root as components() does; None without links."""
-    named = F.struct(*_OWN)
-    sizes = written(rows.groupBy("band").agg(F.count("*").alias("members"), F.min(named).alias("low"), F.min(F.struct(F.xxhash64("node").alias("at"), named.alias("own"))).alias("any")), "bands")
+    """rows: band, node, of bands with two nodes or more. Returns node, root as components() does; None without links."""
+    sizes = written(rows.groupBy("band").agg(F.count("*").alias("members"), F.min("node").alias("low"), F.min(F.struct(F.xxhash64("node").alias("at"), "node")).alias("any")), "sizes")
     few = rows.join(sizes.where(F.col("members") <= small).select("band"), "band")
     many = written(rows.join(sizes.where(F.col("members") > small).select("band"), "band"), "members")
     # a table of its own, so that a large band's members are dealt by a plain exchange, which Spark can split
-    held = written(sizes.where(F.col("members") > small).select("band", F.explode(F.array_distinct(F.array("low", "any.own"))).alias("p")).select("band", "p.*"), "held")
-    pairs = _met(few.alias("x").join(few.alias("y"), "band").where("x.node < y.node"), similarity)
-    pairs = written(pairs.union(_met(many.alias("x").join(held.alias("y"), "band").where("x.node <> y.node"), similarity)).distinct(), "pairs")
-    edges = written(alike(pairs, sets, similarity), "alike")
-    labels = None if edges.isEmpty() else written(components(edges), "labels")
-    nodes = _open_members(many, labels)
-    if nodes.isEmpty():
-        return labels
-    more = written(_by_prefix(nodes, sets, similarity).join(pairs, ["a", "b"], "left_anti"), "pairs")
-    found = written(alike(more, sets, similarity), "alike")
-    return labels if found.isEmpty() else components(edges.union(found))
+    held = written(sizes.where(F.col("members") > small).select("band", F.explode(F.array_distinct(F.array("low", "any.node"))).alias("node")), "held")
+    found = _pair(few.alias("x").join(few.alias("y"), "band").where("x.node < y.node")).union(_pair(many.alias("x").join(held.alias("y"), "band").where("x.node <> y.node"))).distinct()
+    tried = edges = labels = None
+    for way in (None, _by_lead, lambda members: _by_prefix(members, sets, similarity)):
+        if way is not None:
+            members = _open_members(many, labels)
+            if members.isEmpty():
+                break
+            found = way(members).join(tried, ["a", "b"], "left_anti")
+        found = written(found, "pairs")
+        tried = found if tried is None else tried.union(found)
+        fresh = written(alike(written(_near(found, sets, similarity), "near"), sets, similarity), "alike")
+        if not fresh.isEmpty():
+            edges = fresh if edges is None else edges.union(fresh)
+            labels = written(components(edges), "labels")
+    return labels
 
 
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
@@ -207,9 +223,9 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     keys = written(rows.select("row_key", "node").distinct(), "keys")
     keyed = docs.select(row_key(text_col).alias("_key"), text)
     texts = keyed.join(_few(keys), F.col("_key") == F.col("row_key")).groupBy("node").agg(F.first("text").alias("text"))
-    sets = written(arrow_map(texts, _sets(shingle), f"node long, grams array<long>, {', '.join(f'{s} long' for s in _LONGS)}"), "sets")
-    labels = labels_of(written(rows.select("band", "node", "n").join(sets.drop("grams"), "node"), "sketched"), sets, similarity)
+    sets = written(arrow_map(texts, _sets(shingle), f"node long, n long, grams array<long>, {', '.join(f'{s} long' for s in _LONGS)}"), "sets")
+    labels = labels_of(rows.select("band", "node"), sets, similarity)
     if labels is None:
         return made.select("doc_id", "row_key", F.col("node").alias("root"))
-    labels = written(labels, "labels").withColumnRenamed("node", "_node")
+    labels = labels.withColumnRenamed("node", "_node")
     return made.join(labels, F.col("node") == F.col("_node"), "left").select("doc_id", "row_key", F.coalesce("root", "node").alias("root"))
