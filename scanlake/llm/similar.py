@@ -16,7 +16,9 @@ them. No pair that could join two components is left out.
 
 Before sets are fetched, pairs meet a bound that holds for certain: a set's sketch has the parity of its hashes
 at SKETCH places, so two sketches differ in no more places than the sets differ in shingles, and sets of
-similarity s differ in (1 - s) / (1 + s) of their sizes' sum at most.
+similarity s differ in (1 - s) / (1 + s) of their sizes' sum at most. Texts that share a prefix are compared by their
+sketches within the join, so that only pairs that may be similar become rows; where very many are alike but below
+the threshold, that still takes time in proportion to the square of their number.
 
 Defined cases: null and wordless texts are one group; fewer words than a shingle make one shingle; repeated
 rows each get a row; extra columns are ignored; an empty table gives an empty result.
@@ -30,7 +32,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .common import arrow_map, row_key, signed, written
 from .components import components
@@ -145,12 +147,16 @@ def _pair(on: DataFrame) -> DataFrame:
     return on.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
 
 
+def _allowed(similarity: float) -> Column:
+    """Whether the sketches of x and y allow the similarity."""
+    apart = sum((F.bit_count(F.col(f"x.{s}").bitwiseXOR(F.col(f"y.{s}"))) for s in _LONGS), F.lit(0))
+    return apart <= (F.col("x.n") + F.col("y.n")) * ((1 - similarity) / (1 + similarity)) + 1e-6
+
+
 def _near(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The pairs whose sketches allow the similarity."""
     own = sets.select("node", "n", *_LONGS)
-    apart = sum((F.bit_count(F.col(f"x.{s}").bitwiseXOR(F.col(f"y.{s}"))) for s in _LONGS), F.lit(0))
-    near = apart <= (F.col("x.n") + F.col("y.n")) * ((1 - similarity) / (1 + similarity)) + 1e-6
-    return pairs.join(own.alias("x"), F.col("a") == F.col("x.node")).join(own.alias("y"), F.col("b") == F.col("y.node")).where(near).select("a", "b")
+    return pairs.join(own.alias("x"), F.col("a") == F.col("x.node")).join(own.alias("y"), F.col("b") == F.col("y.node")).where(_allowed(similarity)).select("a", "b")
 
 
 def _open_members(many: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -172,17 +178,18 @@ def _by_lead(members: DataFrame) -> DataFrame:
 
 
 def _by_prefix(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Candidates among the members, of different labels, that share a shingle of both prefixes."""
+    """Candidates among the members, of different labels, that share a shingle of both prefixes and whose sketches allow the similarity."""
     nodes = members.select("node", "label").distinct()
     grams = written(nodes.join(sets.select("node", "n", F.explode("grams").alias("gram")), "node"), "grams")
     often = grams.groupBy("gram").agg(F.count("*").alias("often"))
     order = Window.partitionBy("node").orderBy("often", "gram")
     first = grams.join(often, "gram").withColumn("place", F.row_number().over(order)).where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * similarity - 1e-9) + 1)
-    first = written(first.select("gram", "node", "label"), "prefixes")
-    tops = first.groupBy("gram", "label").agg(F.count("*").alias("n")).groupBy("gram").agg(F.max(F.struct("n", "label")).alias("top"), F.count("*").alias("labels")).where("labels > 1")
+    own = nodes.join(sets.select("node", "n", *_LONGS), "node")
+    first = written(first.select("gram", "node").join(own, "node"), "prefixes")
+    tops = first.groupBy("gram", "label").agg(F.count("*").alias("many")).groupBy("gram").agg(F.max(F.struct("many", "label")).alias("top"), F.count("*").alias("labels")).where("labels > 1")
     tops = written(tops.select("gram", F.col("top.label").alias("lead")), "leads")
     first = written(first.join(tops, "gram"), "postings")
-    return _pair(first.where("label <> lead").alias("x").join(first.alias("y"), "gram").where("x.label <> y.label"))
+    return _pair(first.where("label <> lead").alias("x").join(first.alias("y"), "gram").where((F.col("x.label") != F.col("y.label")) & _allowed(similarity)))
 
 
 def labels_of(rows: DataFrame, sets: DataFrame, similarity: float, small: int = SMALL) -> DataFrame | None:
