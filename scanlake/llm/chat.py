@@ -7,9 +7,9 @@ they do. Escaping doubles the escape sign and puts one behind the first characte
 reading drops single signs and halves double ones; with everything escaped no control string is left in the
 text, which bounds the loop.
 
-Turns are rendered and parsed back row by row, on all tasks; what is left to do in a conversation's order is
-running digests, in a pass over rows sorted by conversation and turn that holds one batch at a time, however
-long a conversation is.
+Turns are rendered and checked row by row, on all tasks. Then each conversation's whole formatted text is parsed
+again, as a stream that doesn't know where its turns were: a pass over rows sorted by conversation and turn, which
+holds one batch and one turn at a time, however long a conversation is. Text that isn't of the grammar is an error.
 
 Defined cases: a null text or role is empty; null turns come first; equal turns are ordered by role and text;
 rows with a null id form one conversation; repeated rows are turns of their own; extra columns are ignored;
@@ -90,16 +90,38 @@ def formatted_turns(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "
     return arrow_map(asked, _render, "conv_id long, turn long, role string, text string, formatted string")
 
 
+class Reader:
+    """Parses a formatted text that comes in parts."""
+
+    def __init__(self):
+        self.held = ""
+
+    def feed(self, part: str) -> list[tuple[str, str, bool]]:
+        """The turns that are complete."""
+        self.held += part
+        end = self.held.rfind(STOP + "\n") + len(STOP) + 1
+        if end <= len(STOP):
+            return []
+        turns, self.held = parse(self.held[:end]), self.held[end:]
+        if turns is None:
+            raise ValueError("the formatted text is not of the grammar")
+        return turns
+
+    def close(self) -> None:
+        if self.held:
+            raise ValueError("the formatted text ends within a turn")
+
+
 class _Digest:
-    """Of one conversation, read back from its formatted turns."""
+    """Of one conversation, read back from its formatted text."""
 
     def __init__(self, conv_id: int | None):
         self.conv_id, self.n, self.loss_chars, self.chars = conv_id, 0, 0, 0
-        self.turns, self.loss = hashlib.sha256(), hashlib.sha256()
+        self.turns, self.loss, self.reader = hashlib.sha256(), hashlib.sha256(), Reader()
 
     def add(self, formatted: str) -> None:
         self.chars += len(formatted)
-        for role, text, learned in parse(formatted) or []:
+        for role, text, learned in self.reader.feed(formatted):
             self.n += 1
             self.turns.update(f"{role}\n{text}\n".encode())
             if learned:
@@ -107,6 +129,7 @@ class _Digest:
                 self.loss.update(text.encode())
 
     def row(self) -> tuple:
+        self.reader.close()
         return self.conv_id, self.n, self.turns.hexdigest(), self.loss_chars, self.loss.hexdigest(), self.chars
 
 

@@ -4,8 +4,12 @@ One automaton holds the token strings of all templates and phrases. A text is st
 for every word the longest match with any template that ends there (matching statistics); words that cannot
 be in a match of two words are stepped over, since the automaton would be back at its root there. Places of
 the base phrases are the states that have the phrase as a suffix. Matches of at least MIN_MATCH words are
-chained per template, in order and with gaps of at most MAX_GAP words, into spans; a template whose words are
-covered to MIN_COVER gives its label.
+chained per template, in order and with gaps of at most MAX_GAP words (none in notices of up to SHORT words), into
+spans; a template whose words are covered to MIN_COVER gives its label, under two conditions. The words that tell
+licences apart (numbers, and VARIANTS) must be the same in the span as in the template, in order; and of spans with
+different labels that share half of the shorter one, that which covers most words stands. Each place of a
+notice gives a span. The score is 1 with a base phrase, else the best coverage of a span with a label, else the
+best coverage of any chain, but at most MIN_COVER.
 
 Defined cases: a null or empty text has no words, no places and score 0; repeated rows each get a row; null
 ids stay; extra columns are ignored; an empty table gives none.
@@ -21,7 +25,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import arrow_map
 
-MIN_MATCH, MAX_GAP, MIN_COVER = 4, 12, 0.6
+MIN_MATCH, MAX_GAP, MIN_COVER, SHORT = 4, 12, 0.6, 20
 
 # The phrases of the contract, and notices of public licences.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -46,6 +50,9 @@ TEMPLATES = (
     ("zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software."),
 )
 
+# Words that tell variants of a licence apart, beside numbers.
+VARIANTS = frozenset(b"noncommercial sharealike noderivatives noderivs nc sa nd lesser affero library clear".split())
+
 _TO_WORDS = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 
 
@@ -54,6 +61,10 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode().translate(_TO_WORDS).split()
 
 
+def tells(word: bytes) -> bool:
+    return word.isdigit() or word in VARIANTS
+
+
 class Automaton:
     """Generalised suffix automaton over numbered words, with the places of its states in the strings."""
 
@@ -132,6 +143,7 @@ class Scanner:
         self.first_template = len(phrases)
         self.labels = [*phrases.values(), *(label for label, _ in templates)]
         self.sizes = [len(s) for s in strings]
+        self.telling = [[w for w in words_of(t) if tells(w)] for t in (*phrases, *(t for _, t in templates))]
         own = {a.state(s): i for i, s in enumerate(strings[: len(phrases)])}
         #: Of each state: the phrases that its strings end with.
         self.phrases: list[tuple[int, ...]] = []
@@ -149,7 +161,7 @@ class Scanner:
                 self.pairs[x * size + y] = True
 
     def scan(self, text: str | None) -> dict:
-        """n_words, places [(word, phrase)], spans [(template, first word, end, coverage)]."""
+        """n_words, places [(word, phrase)], spans [(template, first word, end, coverage)], and the best coverage of any chain."""
         words = words_of(text)
         ids = np.fromiter((self.number.get(w, 0) for w in words), np.int64, len(words))
         places: list[tuple[int, int]] = []
@@ -168,42 +180,60 @@ class Scanner:
                     before = v, n
                 if before[1] >= self.min_match:
                     matches.append((b + 1 - before[1], before[1], before[0]))
-        return {"n_words": len(words), "places": places, "spans": self._chains(matches)}
-
-    def _chains(self, matches: list[tuple[int, int, int]]) -> list[tuple[int, int, int, float]]:
-        """The best chain of matches per template: each goes on from the best one that ends within max_gap words before it."""
+        spans, best = self._spans(matches, words)
+        return {"n_words": len(words), "places": places, "spans": spans, "best": best}
+
+    def _chains(self, which: int, own: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+        """Words covered, first word, end of chains of a template's matches: each goes on from the best one that ends within the gap before it."""
+        gap = self.max_gap if self.sizes[which] > SHORT else 0
+        chains: list[tuple[int, int, int, int]] = []  # the last is the end in the template
+        start = 0
+        for first, n, at in own:
+            while start < len(chains) and chains[start][2] + gap < first:
+                start += 1
+            now = (n, first, first + n, at + n)
+            for covered, began, end, place in chains[start:]:
+                skip = max(0, end - first, place - at)  # words that the chain has already
+                if skip < n and at + skip - place <= gap and 0 <= first + skip - end <= gap:
+                    now = max(now, (covered + n - skip, began, first + n, at + n), key=lambda c: c[0])
+            chains.append(now)
+        kept: list[tuple[int, int, int]] = []
+        for covered, began, end, _ in sorted(chains, key=lambda c: (-c[0], c[1])):
+            if all(end <= a or b <= began for _, a, b in kept):
+                kept.append((covered, began, end))
+        return kept
+
+    def _spans(self, matches: list[tuple[int, int, int]], words: list[bytes]) -> tuple[list[tuple[int, int, int, float]], float]:
         parts: dict[int, list[tuple[int, int, int]]] = {}
         for first, n, state in matches:
             for which, end in self.automaton.ends[state]:
                 if which >= self.first_template:
                     parts.setdefault(which, []).append((first, n, end - n + 1))
-        spans = []
+        best, found = 0.0, []  # covered words, template, first word, end
         for which, own in parts.items():
-            chains: list[tuple[int, int, int, int]] = []  # words covered, first word, end, end in the template
-            best = (0, 0, 0, 0)
-            start = 0
-            for first, n, at in own:
-                while start < len(chains) and chains[start][2] + self.max_gap < first:
-                    start += 1
-                now = (n, first, first + n, at + n)
-                for covered, began, end, place in chains[start:]:
-                    skip = max(0, end - first, place - at)  # words that the chain has already
-                    if skip < n and at + skip - place <= self.max_gap and first + skip - end <= self.max_gap:
-                        now = max(now, (covered + n - skip, began, first + n, at + n), key=lambda c: c[0])
-                chains.append(now)
-                best = max(best, now, key=lambda c: c[0])
-            spans.append((which, best[1], best[2], best[0] / self.sizes[which]))
-        return sorted(spans, key=lambda s: (-s[3], s[0]))
+            for covered, began, end in self._chains(which, own):
+                share = covered / self.sizes[which]
+                best = max(best, share)
+                if share >= self.min_cover and [w for w in words[began:end] if tells(w)] == self.telling[which]:
+                    found.append((covered, which, began, end))
+        kept: list[tuple[int, int, int, int]] = []
+        for span in sorted(found, key=lambda x: (-x[0] / self.sizes[x[1]], -x[0], x[1], x[2])):
+            _, which, began, end = span
+            shared = lambda k: 2 * (min(end, k[3]) - max(began, k[2])) >= min(end - began, k[3] - k[2])  # noqa: B023, E731
+            if not any(self.labels[k[1]] != self.labels[which] and shared(k) for k in kept if k[0] >= span[0]):
+                kept = [k for k in kept if self.labels[k[1]] == self.labels[which] or not shared(k)]
+                kept.append(span)
+        spans = [(which, began, end, covered / self.sizes[which]) for covered, which, began, end in kept]
+        return sorted(spans, key=lambda s: (-s[3], s[1], s[0])), best
 
     def row(self, text: str | None) -> tuple:
         """n_words, n_base, first_word, last_word, base_labels, labels, score, spans."""
         found = self.scan(text)
         starts = [a for a, _ in found["places"]]
         base = {self.labels[p] for _, p in found["places"]}
-        covered = [s for s in found["spans"] if s[3] >= self.min_cover]
-        labels = base | {self.labels[s[0]] for s in covered}
-        score = 1.0 if base else max((s[3] for s in found["spans"]), default=0.0)
-        spans = [{"label": self.labels[w], "first_word": a, "end": b, "coverage": c} for w, a, b, c in covered]
+        labels = base | {self.labels[s[0]] for s in found["spans"]}
+        score = 1.0 if base else max((min(1.0, s[3]) for s in found["spans"]), default=min(found["best"], self.min_cover))
+        spans = [{"label": self.labels[w], "first_word": a, "end": b, "coverage": c} for w, a, b, c in found["spans"]]
         return found["n_words"], len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), ",".join(sorted(labels)), score, spans
 
 

@@ -6,10 +6,13 @@ MAX_DEPTH are one wildcard. Templates that differ in one fixed segment only are
 labelled addresses does not differ significantly from that of their siblings together. A template is rejected
 if the smoothed share of bad addresses among its labelled ones is at least REJECT.
 
-The labels are the verdicts of the listed rules on the addresses that they fit, and those given as a table.
+The labels are the verdicts of the listed rules on the addresses that they fit, and those given as a table. Hosts
+lend each other evidence: a template's share is smoothed towards that of its shape, the same segments on all hosts,
+and a shape's towards the share of all labels. So a template without labels of its own is judged by its shape, if
+that has LEAST labels on LEAST_HOSTS hosts; otherwise it is allowed.
 
-Rows go through joins on a tree node that only exists for wide nodes, and through sums; no host or node is
-brought together in a task. Defined cases: a null address, or one without ``://``, has an empty host and path;
+Rows meet three kinds of tables, by plain joins, of which adaptive execution splits those with a common key: wide
+nodes (few), the templates of a host, and their sums. Nothing is broadcast by this module. Defined cases: a null address, or one without ``://``, has an empty host and path;
 repeated rows each get a row; null ids stay; extra columns are ignored; an empty table gives none.
 """
 
@@ -23,7 +26,7 @@ from .common import written
 RULES = (("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block"))
 FANOUT, MAX_DEPTH = 16, 8
 #: Merging: |z| below this, with so many labelled addresses on both sides. Purity: weight of the overall share, least evidence, limit.
-MERGE_Z, MERGE_LEAST, PRIOR_WEIGHT, LEAST, REJECT = 1.96, 5, 4.0, 3, 0.8
+MERGE_Z, MERGE_LEAST, PRIOR_WEIGHT, LEAST, LEAST_HOSTS, REJECT = 1.96, 5, 4.0, 3, 3, 0.8
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 VARIABLE = r"^([0-9]+|[0-9]+(\.[A-Za-z0-9]+)+|[0-9]{4}-[0-9]{2}(-[0-9]{2})?|[0-9a-fA-F]{8,}|[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12})$"
@@ -85,7 +88,7 @@ def merged_templates(stats: DataFrame, depth: int) -> DataFrame:
 
 
 def url_verdicts(pages: DataFrame, labels: DataFrame | None = None, id_col: str = "page_id", url_col: str = "url", rules: tuple[tuple[str, str], ...] = RULES, reject: float = REJECT) -> DataFrame:
-    """A row for each row of pages: page_id, host, path, rule, verdict, template, labelled, purity.
+    """A row for each row of pages: page_id, host, path, rule, verdict, template, labelled, lent (labels of its shape), purity.
 
     labels: id, bad (boolean), one row for an id, of addresses that are labelled beside those that a rule fits."""
     host, path = host_and_path(F.col(url_col).cast("string"))
@@ -100,14 +103,19 @@ def url_verdicts(pages: DataFrame, labels: DataFrame | None = None, id_col: str
     whole = written(rows.join(found.select("at", "parts"), "at"), "templates")
     stats = whole.groupBy("host", "parts").agg(F.count("bad").alias("labelled"), F.count_if("bad").alias("bad"))
     depth = whole.agg(F.max(F.size("parts"))).first()[0] or 0
-    merged = merged_templates(written(stats, "stats"), depth)
+    stats = written(stats, "stats")
+    merged = merged_templates(stats, depth)
     sums = merged.groupBy("host", "merged").agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad_n"))
-    n, bad = merged.agg(F.sum("labelled"), F.sum("bad")).first()
+    n, bad = stats.agg(F.sum("labelled"), F.sum("bad")).first()
     prior = (bad or 0) / n if n else 0.0
-    purity = (F.col("bad_n") + PRIOR_WEIGHT * prior) / (F.col("labelled") + PRIOR_WEIGHT)
-    judged = merged.select("host", "parts", "merged").join(sums, ["host", "merged"]).select("host", "parts", F.concat(F.lit("/"), F.array_join("merged", "/")).alias("template"), "labelled", purity.alias("purity"))
-    rejected = (F.col("labelled") >= LEAST) & (F.col("purity") >= reject)
-    return whole.join(judged, ["host", "parts"]).select("page_id", "host", "path", "rule", F.coalesce("says", F.when(rejected, "block").otherwise("allow")).alias("verdict"), "template", "labelled", "purity")
+    shapes = stats.groupBy("parts").agg(F.sum("labelled").alias("lent"), F.sum("bad").alias("lent_bad"), F.count_if(F.col("labelled") > 0).alias("hosts"))
+    shape_share = (F.col("lent_bad") + PRIOR_WEIGHT * prior) / (F.col("lent") + PRIOR_WEIGHT)
+    purity = (F.col("bad_n") + PRIOR_WEIGHT * shape_share) / (F.col("labelled") + PRIOR_WEIGHT)
+    judged = merged.select("host", "parts", "merged").join(sums, ["host", "merged"]).join(shapes, "parts")
+    judged = judged.select("host", "parts", F.concat(F.lit("/"), F.array_join("merged", "/")).alias("template"), "labelled", "lent", "hosts", purity.alias("purity"))
+    known = (F.col("labelled") >= LEAST) | ((F.col("lent") >= LEAST) & (F.col("hosts") >= LEAST_HOSTS))
+    verdict = F.coalesce("says", F.when(known & (F.col("purity") >= reject), "block").otherwise("allow"))
+    return whole.join(judged, ["host", "parts"]).select("page_id", "host", "path", "rule", verdict.alias("verdict"), "template", "labelled", "lent", "purity")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

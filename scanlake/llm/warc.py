@@ -4,14 +4,14 @@ Writing: each capture gives a request, a response (or a revisit, where another c
 response) and a metadata record, bound by WARC-Concurrent-To. Records are text columns, built without Python,
 and Spark's text writer lays them down with the blank lines that end a record, compressed with gzip.
 
-Reading: each file is parsed as a stream by Content-Length. Transactions: responses and metadata are joined to
-their requests through the concurrent-to identifiers, one nested row for each capture; a revisit gets length
-and digest of its payload from the response that it refers to.
-
-Of captures with equal payloads the one with the largest page id is the response. Defined cases: a null html is
-an empty payload, a null url an empty target; rows that repeat the largest id are responses each, and so are
-rows without an id that share a payload with no row that has one; extra columns are ignored; an empty table
-gives none.
+Reading: each file is parsed as a stream by Content-Length. Transactions: records are brought together by the
+request that they are concurrent to, one nested row for each capture; a revisit gets length and digest of its
+payload from the response that it refers to.
+
+Of captures with equal payloads the one with the largest page id is the response. Every record has an identifier of
+its own. Defined cases: a null html is an empty payload, a null url an empty target; rows that repeat the largest id
+are responses each, of which revisits refer to one, and so are rows without an id that share a payload with no
+row that has one; extra columns are ignored; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -24,10 +24,10 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import arrow_map, scratch_path, written
+from .common import arrow_map, fewer_parts, scratch_path, written
 
-#: Captures in one file at most.
-FILE_CAPTURES = 2000
+#: Captures in one file at most, and bytes of payload by the mean; a file is unpacked as a stream, so that a task holds its packed bytes and one record.
+FILE_CAPTURES, FILE_BYTES = 2000, 64 << 20
 #: Payload groups up to this number (under 100 bytes each) are broadcast; more are joined by a shuffle.
 BROADCAST_GROUPS = 500_000
 DATE = "2024-01-01T00:00:00Z"
@@ -58,19 +58,34 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
         F.col(id_col).cast("string").alias("id"), F.col(id_col).cast("long").alias("n"), F.regexp_replace(F.coalesce(F.col(url_col), F.lit("")), r"[\x00-\x20\x7f]", "%20").alias("url"),
         F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"), F.sha1(F.coalesce(F.col(html_col).cast("string"), F.lit("")).cast("binary")).alias("sha1"),
     )
-    shared = written(rows.groupBy("sha1").agg(F.max("n").alias("lead"), F.count("*").alias("copies")).where("copies > 1 and lead is not null").select(F.col("sha1").alias("of"), "lead"), "payloads")
+    rows = rows.withColumn("at", F.monotonically_increasing_id().cast("string"))
+    keys = written(rows.select("sha1", "n", F.octet_length("html").alias("bytes")), "keys")  # so that payloads are read and hashed twice only
+    groups = written(keys.groupBy("sha1").agg(F.max("n").alias("lead"), F.count("*").alias("copies"), F.sum("bytes").alias("bytes")), "payloads")
+    captures, held = groups.agg(F.coalesce(F.sum("copies"), F.lit(0)), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+    shared = groups.where("copies > 1 and lead is not null").select(F.col("sha1").alias("of"), "lead")
     if shared.count() <= BROADCAST_GROUPS:
         shared = F.broadcast(shared)
-    rows = rows.join(shared, rows["sha1"] == shared["of"], "left").withColumn("at", F.monotonically_increasing_id().cast("string"))
+    rows = rows.join(shared, rows["sha1"] == shared["of"], "left")
+    leading = F.col("n").eqNullSafe(F.col("lead"))
+    again = F.col("lead").isNotNull() & ~leading
+    leads = keys.join(shared, keys["sha1"] == shared["of"]).where("n = lead")
+    repeated = written(leads.groupBy(F.col("sha1").alias("again_of")).count().where("count > 1").select("again_of"), "repeated")
+    if repeated.isEmpty():
+        first = F.lit(True)
+    else:  # of rows that repeat the largest id one is referred to, so they are numbered in a table that is read once more
+        rows = written(rows.drop("of"), "captures")
+        one = written(rows.where(F.col("lead").isNotNull() & leading).join(repeated, F.col("sha1") == F.col("again_of")).groupBy(F.col("sha1").alias("one_of")).agg(F.min("at").alias("one")), "firsts")
+        rows = rows.join(one, F.col("sha1") == F.col("one_of"), "left")
+        first = F.coalesce(F.col("at") == F.col("one"), F.lit(True))
     capture = _uuid("request", F.coalesce("id", F.lit("")), F.col("at"))
     ident = lambda n: _uuid("response", F.coalesce(n.cast("string"), F.lit("")), F.col("sha1"))
+    own = F.when(F.col("n").isNotNull() & first, ident(F.col("n"))).otherwise(_uuid("response", F.coalesce("id", F.lit("")), F.col("sha1"), F.col("at")))
     digest = F.concat(F.lit("sha1:"), base32(F.col("sha1")))
     rest = F.substring_index("url", "://", -1)
     host, path_ = F.regexp_extract(rest, "^([^/?#]*)", 1), F.regexp_extract(rest, "^[^/?#]*([^#]*)", 1)
     request = F.concat(F.lit("GET "), F.when(F.startswith(path_, F.lit("/")), path_).otherwise(F.concat(F.lit("/"), path_)), F.lit(" HTTP/1.1\r\nHost: "), host, F.lit("\r\n\r\n"))
     answer = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.octet_length("html").cast("string"), F.lit("\r\n\r\n"))
     common = [("WARC-Date", DATE), ("WARC-Target-URI", F.col("url"))]
-    again = F.col("lead").isNotNull() & ~F.col("n").eqNullSafe(F.col("lead"))
     out = rows.select(
         F.array(
             _record([("WARC-Type", "request"), ("WARC-Record-ID", capture), *common, ("Content-Type", "application/http;msgtype=request")], request),
@@ -82,12 +97,14 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
                     answer,
                 ),
             ).otherwise(
-                _record([("WARC-Type", "response"), ("WARC-Record-ID", ident(F.col("n"))), ("WARC-Concurrent-To", capture), *common, ("WARC-Payload-Digest", digest), ("Content-Type", "application/http;msgtype=response")], F.concat(answer, "html"))
+                _record([("WARC-Type", "response"), ("WARC-Record-ID", own), ("WARC-Concurrent-To", capture), *common, ("WARC-Payload-Digest", digest), ("Content-Type", "application/http;msgtype=response")], F.concat(answer, "html"))
             ),
             _record([("WARC-Type", "metadata"), ("WARC-Record-ID", _uuid("metadata", F.coalesce("id", F.lit("")), F.col("at"))), ("WARC-Concurrent-To", capture), *common, ("Content-Type", "application/warc-fields")], F.concat(F.lit("pageId: "), F.coalesce("id", F.lit("")), F.lit("\r\n"))),
         ).alias("records")
     )
-    out.select(F.explode("records").alias("value")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", 3 * FILE_CAPTURES).text(path)
+    in_file = max(1, min(FILE_CAPTURES, FILE_BYTES * captures // max(1, held)))
+    out = fewer_parts(out.select(F.explode("records").alias("value")))
+    out.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", 3 * in_file).option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").text(path)
 
 
 class _Stream:
@@ -187,20 +204,19 @@ def read_records(spark: SparkSession, path: str, with_payload: bool = False) ->
 
 def transactions(found: DataFrame) -> DataFrame:
     """One nested row for each capture: request, response (a response or a revisit) and metadata."""
-    nested = lambda kinds, name: found.where(F.col("type").isin(kinds)).select(F.col("concurrent_to" if name != "request" else "record_id").alias("capture"), F.struct("*").alias(name))
-    both = nested(["request"], "request").join(nested(["response", "revisit"], "response"), "capture", "left").join(nested(["metadata"], "metadata"), "capture", "left")
-    whole = found.where("type = 'response'").groupBy("record_id").agg(F.first("payload_bytes").alias("bytes_"), F.first("payload_digest").alias("digest_")).withColumnRenamed("record_id", "of")
-    pages = found.where("type = 'response'").select(F.col("record_id").alias("of"), F.col("concurrent_to").alias("of_capture"))
-    ids = nested(["metadata"], "metadata").select(F.col("capture").alias("of_capture"), F.col("metadata.page_id").alias("lead_id"))
+    capture = F.when(F.col("type") == "request", F.col("record_id")).otherwise(F.col("concurrent_to"))
+    part = lambda *kinds: F.first(F.when(F.col("type").isin(*kinds), F.struct("*")), ignorenulls=True)
+    nested = found.groupBy(capture.alias("capture")).agg(part("request").alias("request"), part("response", "revisit").alias("response"), part("metadata").alias("metadata")).where("request is not null")
+    page_id = F.col("metadata.page_id").cast("long")
     # a table of its own, so that the join of many revisits of one response reads plain exchanges, which Spark can split
-    leads = written(whole.join(pages.join(ids, "of_capture").groupBy("of").agg(F.min("lead_id").alias("lead_id")), "of"), "leads")
+    leads = written(nested.where("response.type = 'response'").select(F.col("response.record_id").alias("of"), F.col("response.payload_bytes").alias("bytes_"), F.col("response.payload_digest").alias("digest_"), page_id.alias("lead_id")), "leads")
     # captures that refer to nothing are dealt by their own identifier, which no response has
-    joined = both.join(leads, F.coalesce("response.refers_to", "capture") == F.col("of"), "left")
+    joined = nested.join(leads, F.coalesce("response.refers_to", "capture") == F.col("of"), "left")
     revisit = F.col("response.type") == "revisit"
     return joined.select(
-        F.col("metadata.page_id").cast("long").alias("page_id"), F.when(revisit, F.col("bytes_")).otherwise(F.col("response.payload_bytes")).alias("payload_bytes"),
+        page_id.alias("page_id"), F.when(revisit, F.col("bytes_")).otherwise(F.col("response.payload_bytes")).alias("payload_bytes"),
         F.when(revisit, F.col("digest_")).otherwise(F.col("response.payload_digest")).alias("payload_digest"), F.col("response.type").alias("record_type"),
-        F.when(revisit, F.col("lead_id").cast("long")).alias("refers_to"), "request", "response", "metadata",
+        F.when(revisit, F.col("lead_id")).alias("refers_to"), "request", "response", "metadata",
     )
 
 

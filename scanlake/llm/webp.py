@@ -1,15 +1,17 @@
 """Lossless WebP (VP8L) of byte payloads: a full decoder, an encoder, and the columns made from them.
 
 The decoder reads every part of the lossless format: prefix codes (simple and normal, several groups),
-back-references, the colour cache, and the predictor, cross-colour, subtract-green and palette transforms. Where
-an image has literals of one channel only, which the encoder's bulk form has, its prefix codes are decoded
-for all bit positions at once and the chain of codes is followed by doubled jumps; other images go symbol by
-symbol.
+back-references, the colour cache, and the predictor, cross-colour, subtract-green and palette transforms. Where an
+image has one group of codes, no cache and literals of one channel only, the codes of literals and of
+back-references are decoded for all bit positions at once and the chain of codes is followed by doubled jumps; then
+literals are laid down together and copies one by one. Other images go symbol by symbol.
 
 Stored form of a payload: its bytes are the green samples of images 576 pixels wide and at most 16,383 high;
-several images follow one another. The encoder takes a palette (with several samples in a pixel) for at most
-16 different bytes, else one prefix code of at most 12 bits; back-references, a cache and other transforms can be
-asked for.
+several images follow one another. Each is stored in the smallest of these forms, by exact counts of bits for all but
+the codes' own descriptions: a palette (for at most 16 different bytes, with several samples in a pixel), literals,
+literals and back-references, or what is left of literals after prediction from the left or from above. The
+other parts cannot shrink an image of one channel: a cached colour is another symbol for the same literal, so
+it splits that literal's count; and red and blue are constant, so that the colour transforms only add to them.
 
 Defined cases: a null or empty text is one row of 576 bytes 255; repeated rows each get a row; null ids stay;
 extra columns are ignored; an empty table gives none.
@@ -19,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import math
 import struct
 import zlib
 from collections.abc import Iterator
@@ -256,30 +259,53 @@ def _write_code(w: _Writer, lengths: np.ndarray) -> None:
 
 # ---- decoding -------------------------------------------------------------------------------------------------
 
-def _chain(r: _Reader, code: _Code, n: int, window: int = 1 << 19, jumps: int = 5) -> np.ndarray:
-    """n symbols of one code, which follow each other without extra bits."""
+def _extra_bits(code: np.ndarray) -> np.ndarray:
+    """How many bits follow a length's or distance's prefix code."""
+    return np.maximum(0, code - 2 >> 1)
+
+
+def _value(code: np.ndarray, extra: np.ndarray) -> np.ndarray:
+    return np.where(code < 4, code + 1, (2 + (code & 1) << _extra_bits(code)) + extra + 1)
+
+
+def _chain(r: _Reader, code: _Code, far: _Code, width: int, n: int, window: int = 1 << 19, jumps: int = 5) -> np.ndarray:
+    """n samples: literals of one code, and back-references whose distances the code far has."""
     raw = np.frombuffer(r.padded, np.uint8)
-    out = np.empty(n, np.int32)
+    out = np.empty(n, np.uint8)
     done, at, mask = 0, r.at, np.uint32((1 << code.bits) - 1)
+    copies = bool(code.lengths[LITERALS:].any())
     shifts = np.arange(8, dtype=np.uint32)
     while done < n:
         first = at >> 3
         size = min(window, 8 * (len(r.data) - first))
         if size <= at - 8 * first:
             raise ValueError("the image ends early")
-        b = raw[first : first + (size >> 3) + 2].astype(np.uint32)
-        words = b[:-2] | b[1:-1] << np.uint32(8) | b[2:] << np.uint32(16)
-        windows = ((words[:, None] >> shifts) & mask).ravel()
-        after = np.arange(size + 16, dtype=np.int32)  # from its end on a place stays where it is
+        b = raw[first : first + (size >> 3) + 8].astype(np.uint32)
+        words = b[:-2] | b[1:-1] << np.uint32(8) | b[2:] << np.uint32(16)  # 24 bits from each byte on
+        windows = ((words[: size >> 3, None] >> shifts) & mask).ravel()
+        # from its end on a place stays where it is
+        after = np.arange(size + 96, dtype=np.int32)
         after[:size] += code.length[windows]
-        far = after
+        if copies:
+            bits_at = lambda p, k: words[np.minimum(p >> 3, len(words) - 1)] >> (p & 7).astype(np.uint32) & ((1 << k) - 1)
+            starts = np.flatnonzero(code.symbol[windows] >= LITERALS).astype(np.int64)
+            kind = code.symbol[windows[starts]] - LITERALS
+            p = after[starts] + _extra_bits(kind)
+            if far.only is None:
+                there = bits_at(p, far.bits)
+                p = p + far.length[there]
+                kind = far.symbol[there]
+            else:
+                kind = np.full(len(p), far.only)
+            after[starts] = p + _extra_bits(kind)
+        jump = after
         for _ in range(jumps):
-            far = far[far]
+            jump = jump[jump]
         places, place = [], at - 8 * first
         limit = (n - done >> jumps) + 1
         while place < size and len(places) < limit:
             places.append(place)
-            place = int(far[place])
+            place = int(jump[place])
         row = np.array(places, np.int32)
         every = np.empty((1 << jumps, len(row)), np.int32)
         for i in range(1 << jumps):
@@ -287,8 +313,44 @@ def _chain(r: _Reader, code: _Code, n: int, window: int = 1 << 19, jumps: int =
             row = after[row]
         every = every.T.ravel()
         every = every[every < size][: n - done]
-        out[done : done + len(every)] = code.symbol[windows[every]]
-        done += len(every)
+        symbols = code.symbol[windows[every]]
+        if not copies:
+            out[done : done + len(every)] = symbols
+            done += len(every)
+        else:
+            which = np.flatnonzero(symbols >= LITERALS)
+            counts = np.ones(len(every), np.int64)
+            if len(which):
+                kind, p = symbols[which] - LITERALS, every[which] + code.length[windows[every[which]]].astype(np.int64)
+                counts[which] = _value(kind, bits_at(p, _extra_bits(kind)).astype(np.int64))
+            ends = done + np.cumsum(counts)
+            cut = int(np.searchsorted(ends, n)) + 1
+            every, symbols, ends, which = every[:cut], symbols[:cut], ends[:cut], which[which < cut]
+            if ends[-1] > n:
+                raise ValueError("a back-reference leaves the image")
+            literal = np.ones(len(every), bool)
+            literal[which] = False
+            out[ends[literal] - 1] = symbols[literal]
+            if len(which):
+                kind = symbols[which] - LITERALS
+                p = every[which] + code.length[windows[every[which]]].astype(np.int64) + _extra_bits(kind)
+                if far.only is None:
+                    there = bits_at(p, far.bits)
+                    p, kind = p + far.length[there], far.symbol[there]
+                else:
+                    kind = np.full(len(p), far.only)
+                back = _value(kind, bits_at(p, _extra_bits(kind)).astype(np.int64))
+                near = back <= 120
+                steps = np.array(NEAR)[np.minimum(back, 120) - 1]
+                back = np.where(near, np.maximum(1, steps[:, 0] + steps[:, 1] * width), back - 120)
+                for a, e, d in zip((ends[which] - counts[which]).tolist(), ends[which].tolist(), back.tolist(), strict=True):
+                    if d > a:
+                        raise ValueError("a back-reference leaves the image")
+                    if d >= e - a:
+                        out[a:e] = out[a - d : e - d]
+                    else:
+                        out[a:e] = np.resize(out[a - d : a], e - a)
+            done = int(ends[-1])
         at = 8 * first + int(after[every[-1]])
         if at > 8 * len(r.data):
             raise ValueError("the image ends early")
@@ -322,8 +384,8 @@ def _pixels(r: _Reader, width: int, height: int, main: bool) -> np.ndarray:
         fixed = np.uint32(rest[0] << 16 | rest[1] | rest[2] << 24)
         if codes[0].only is not None and codes[0].only < LITERALS:
             return np.full(n, fixed | np.uint32(codes[0].only << 8), np.uint32)
-        if codes[0].only is None and not codes[0].lengths[LITERALS:].any():
-            return _chain(r, codes[0], n).astype(np.uint32) << np.uint32(8) | fixed
+        if codes[0].only is None and max(codes[0].bits, codes[4].bits) <= 14:
+            return _chain(r, codes[0], codes[4], width, n).astype(np.uint32) << np.uint32(8) | fixed
     out = [0] * n
     cache = [0] * (1 << cache_bits)
     shift = 32 - cache_bits
@@ -423,6 +485,50 @@ def _walk_predictor(pixels: np.ndarray, modes: list[int], across: int, block: in
     return np.array(out, np.uint32).reshape(h, w)
 
 
+LEFT, ABOVE = 1, 2
+
+
+def _left_over(samples: np.ndarray, mode: int) -> np.ndarray:
+    """8-bit samples (height, width, ...) less their prediction from the left or from above; the first row is predicted from the left, the first column from above."""
+    out = samples.copy()
+    out[0, 1:] -= samples[0, :-1]
+    if mode == ABOVE:
+        out[1:] -= samples[:-1]
+    else:
+        out[1:, 0] -= samples[:-1, 0]
+        out[1:, 1:] -= samples[1:, :-1]
+    return out
+
+
+def _summed(left: np.ndarray, mode: int) -> np.ndarray:
+    """What _left_over was made of."""
+    out = left.copy()
+    out[0] = np.cumsum(out[0], 0, dtype=np.uint8)
+    if mode == ABOVE:
+        return np.cumsum(out, 0, dtype=np.uint8)
+    out[:, 0] = np.cumsum(out[:, 0], 0, dtype=np.uint8)
+    out[1:] = np.cumsum(out[1:], 1, dtype=np.uint8)
+    return out
+
+
+def _uniform(pixels: np.ndarray, mode: int, inverse: bool) -> np.ndarray:
+    """_walk_predictor where all blocks predict from the left, or all from above."""
+    samples = np.array(pixels, np.uint32, order="C").view(np.uint8).reshape(*pixels.shape, 4)
+    if inverse:
+        samples[0, 0, 3] = int(samples[0, 0, 3]) + 255 & 255
+        out = _summed(samples, mode)
+    else:
+        out = _left_over(samples, mode)
+        out[0, 0, 3] = int(out[0, 0, 3]) + 1 & 255
+    return out.view(np.uint32).reshape(pixels.shape)
+
+
+def _predict(pixels: np.ndarray, modes: list[int], across: int, block: int, inverse: bool) -> np.ndarray:
+    if modes[0] in (LEFT, ABOVE) and len(set(modes)) == 1:
+        return _uniform(pixels, modes[0], inverse)
+    return _walk_predictor(pixels, modes, across, block, inverse)
+
+
 def _signed8(x: np.ndarray) -> np.ndarray:
     return x.astype(np.uint8).view(np.int8).astype(np.int32)
 
@@ -486,7 +592,7 @@ def decode(data: bytes) -> np.ndarray:
         elif kind == CROSS_COLOUR:
             out = _cross(out, table, block, 1)
         elif kind == PREDICTOR:
-            out = _walk_predictor(out, (table >> np.uint32(8) & np.uint32(15)).ravel().tolist(), table.shape[1], block, True)
+            out = _predict(out, (table >> np.uint32(8) & np.uint32(15)).ravel().tolist(), table.shape[1], block, True)
         else:
             green = out >> np.uint32(8) & np.uint32(255)
             if block:
@@ -533,7 +639,103 @@ def _tokens(pixels: list[int], cache_bits: int, references: bool) -> list[tuple]
     return out
 
 
-def _write_pixels(w: _Writer, pixels: np.ndarray, main: bool, cache_bits: int = 0, references: bool = False, limit: int = 12) -> None:
+#: Bytes of the least back-reference that is looked for in payloads, and the format's longest.
+LEAST_COPY, MOST_COPY = 16, 4096
+
+
+def copies_in(samples: np.ndarray) -> list[tuple[int, int, int]]:
+    """Place, length and distance of back-references in flat 8-bit samples, taken greedily: each from the last place that has the same LEAST_COPY samples."""
+    n = len(samples) - LEAST_COPY + 1
+    if n < 2:
+        return []
+    padded_ = np.concatenate([samples, np.zeros(8, np.uint8)])
+    eight = np.lib.stride_tricks.as_strided(padded_, (len(samples), 8), (1, 1)).copy().view(np.uint64).ravel()
+    key = eight[:n] * np.uint64(0x9E3779B185EBCA87) ^ eight[LEAST_COPY - 8 : LEAST_COPY - 8 + n]
+    order = np.argsort(key)
+    own = key[order]
+    same = own[1:] == own[:-1]
+    again = np.flatnonzero(np.append(same, False) | np.insert(same, 0, False))
+    if not len(again):
+        return []
+    order, run = order[again], np.cumsum(~np.insert(same, 0, False))[again]
+    by_place = np.argsort(run * np.int64(len(samples)) + order)
+    order, run = order[by_place], run[by_place]
+    same = np.flatnonzero(run[1:] == run[:-1])
+    last = np.full(n, -1, np.int64)
+    last[order[same + 1]] = order[same]
+    starts = np.flatnonzero(last >= 0)
+    out, at, raw = [], 0, samples.tobytes()
+    while (i := int(np.searchsorted(starts, at))) < len(starts):
+        at = int(starts[i])
+        back = int(last[at])
+        length, most = 0, min(MOST_COPY, len(raw) - at)
+        while (step := min(64, most - length)) and raw[at + length : at + length + step] == raw[back + length : back + length + step]:
+            length += step
+        while length < most and raw[at + length] == raw[back + length]:
+            length += 1
+        if length < LEAST_COPY:  # the keys of different samples were equal
+            at += 1
+            continue
+        out.append((at, length, at - back))
+        at += length
+    return out
+
+
+def _prefixes(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """_prefix of an array."""
+    less = values - 1
+    bits = np.maximum(0, np.frexp(np.maximum(less, 1).astype(float))[1] - 2)
+    code = np.where(values <= 4, less, 2 * bits + 2 + (less >> bits & 1))
+    bits = np.where(values <= 4, 0, bits)
+    return code, less & (1 << bits) - 1, bits
+
+
+class _Copied:
+    """Flat samples as literals and back-references, with the codes and the bits that these take."""
+
+    def __init__(self, samples: np.ndarray, copies: list[tuple[int, int, int]]):
+        place, length, far = (np.array(x, np.int64) for x in zip(*copies, strict=True))
+        literal = np.ones(len(samples), bool)
+        edges = np.zeros(len(samples) + 1, np.int64)
+        np.add.at(edges, place, 1)
+        np.add.at(edges, place + length, -1)
+        literal = np.cumsum(edges[:-1]) == 0
+        self.length, self.far = _prefixes(length), _prefixes(far + 120)
+        at = np.concatenate([np.flatnonzero(literal), place])
+        order = np.argsort(at, kind="stable")
+        symbols = np.concatenate([samples[literal].astype(np.int64), LITERALS + self.length[0]])
+        self.symbols = symbols[order]
+        self.green = code_lengths(np.bincount(symbols, minlength=LITERALS + LENGTHS), 14)
+        self.distances = code_lengths(np.bincount(self.far[0], minlength=DISTANCES), 14)
+        extra = int((self.length[2] + self.far[2]).sum())
+        self.bits = int(self.green[symbols].sum()) + extra + (int(self.distances[self.far[0]].sum()) if np.count_nonzero(self.distances) > 1 else 0)
+
+    def write(self, w: _Writer) -> None:
+        w.write(0, 1)  # no cache
+        w.write(0, 1)  # one group of codes
+        one = np.zeros(256, np.int64)
+        one[0] = 1
+        full = np.zeros(256, np.int64)
+        full[255] = 1
+        for n in (self.green, one, one, full, self.distances):
+            _write_code(w, n)
+        copy = np.flatnonzero(self.symbols >= LITERALS)
+        lone_far = np.count_nonzero(self.distances) < 2
+        values, sizes = np.zeros((len(self.symbols), 5), np.int64), np.zeros((len(self.symbols), 5), np.int64)
+        if np.count_nonzero(self.green) > 1:
+            values[:, 0], sizes[:, 0] = canonical(self.green)[self.symbols], self.green[self.symbols]
+        values[copy, 1], sizes[copy, 1] = self.length[1:]
+        if not lone_far:
+            values[copy, 2], sizes[copy, 2] = canonical(self.distances)[self.far[0]], self.distances[self.far[0]]
+        values[copy, 3], sizes[copy, 3] = self.far[1] & 0xFFFF, np.minimum(self.far[2], 16)
+        values[copy, 4], sizes[copy, 4] = self.far[1] >> 16, np.maximum(self.far[2] - 16, 0)
+        used = sizes.ravel() > 0
+        w.extend(values.ravel()[used], sizes.ravel()[used])
+
+
+def _write_pixels(w: _Writer, pixels: np.ndarray, main: bool, cache_bits: int = 0, references: bool = False, limit: int = 12, copied: _Copied | None = None) -> None:
+    if copied is not None:
+        return copied.write(w)
     w.write(1 if cache_bits else 0, 1)
     if cache_bits:
         w.write(cache_bits, 4)
@@ -576,9 +778,10 @@ def _write_pixels(w: _Writer, pixels: np.ndarray, main: bool, cache_bits: int =
             w.write(extra, bits)
 
 
-def encode(pixels: np.ndarray, transforms: tuple[int, ...] = (), cache_bits: int = 0, references: bool = False, block: int = 2, modes=None, elements=None) -> bytes:
+def encode(pixels: np.ndarray, transforms: tuple[int, ...] = (), cache_bits: int = 0, references: bool = False, block: int = 2, modes=None, elements=None, copied: _Copied | None = None) -> bytes:
     """A RIFF file of ARGB values (height, width). transforms are applied in the order given; modes and elements are
-    the predictor's modes and the cross-colour elements of the blocks (all modes in turn, and some, if not given)."""
+    the predictor's modes and the cross-colour elements of the blocks (all modes in turn, and some, if not given).
+    copied: the green samples as literals and back-references, if the other channels are constant."""
     height, width = pixels.shape
     w = _Writer()
     w.write(SIGNATURE, 8)
@@ -596,7 +799,7 @@ def encode(pixels: np.ndarray, transforms: tuple[int, ...] = (), cache_bits: int
             own = np.arange(n) % 14 if modes is None else np.asarray(modes)
             w.write(block - 2, 3)
             _write_pixels(w, (own.astype(np.uint32) << np.uint32(8) | np.uint32(OPAQUE)).reshape(shape), False)
-            pixels = _walk_predictor(pixels, own.ravel().tolist(), shape[1], block, False)
+            pixels = _predict(pixels, own.ravel().tolist(), shape[1], block, False)
         elif kind == CROSS_COLOUR:
             own = (np.arange(n, dtype=np.uint32) * np.uint32(0x0B1735) & np.uint32(0xFFFFFF) | np.uint32(OPAQUE) if elements is None else np.asarray(elements, np.uint32)).reshape(shape)
             w.write(block - 2, 3)
@@ -617,7 +820,7 @@ def encode(pixels: np.ndarray, transforms: tuple[int, ...] = (), cache_bits: int
             shifts = np.arange(1 << bundle, dtype=np.uint32) * np.uint32(8 >> bundle)
             pixels = (index.reshape(h, -1, 1 << bundle) << shifts).sum(2, dtype=np.uint32) << np.uint32(8) | np.uint32(OPAQUE)
     w.write(0, 1)
-    _write_pixels(w, pixels, True, cache_bits, references)
+    _write_pixels(w, pixels, True, cache_bits, references, copied=copied)
     data = w.bytes()
     chunk = b"VP8L" + struct.pack("<I", len(data)) + data + bytes(len(data) & 1)
     return b"RIFF" + struct.pack("<I", 4 + len(chunk)) + b"WEBP" + chunk
@@ -629,14 +832,40 @@ def padded(raw: bytes) -> bytes:
     return raw + b"\xff" * (max(UNIT, -(-len(raw) // UNIT) * UNIT) - len(raw))
 
 
+def _literal_bits(samples: np.ndarray) -> int:
+    counts = np.bincount(samples.ravel(), minlength=256)
+    return int((code_lengths(counts, 12) * counts).sum()) if np.count_nonzero(counts) > 1 else 0
+
+
+def _least_bits(samples: np.ndarray) -> float:
+    """The entropy: no prefix code takes less."""
+    counts = np.bincount(samples.ravel())
+    counts = counts[counts > 0]
+    return float((counts * np.log2(samples.size / counts)).sum())
+
+
+def stored_image(samples: np.ndarray) -> bytes:
+    """8-bit samples (height, width) in the smallest of the forms named above."""
+    pixels = samples.astype(np.uint32) << np.uint32(8) | np.uint32(OPAQUE)
+    # a form's bits are counted only if the least that they can be is fewer than another's
+    bits, how = math.inf, {}
+    if copies := copies_in(samples.ravel()):
+        copied = _Copied(samples.ravel(), copies)
+        bits, how = copied.bits, {"copied": copied}
+    for mode in (None, LEFT, ABOVE):
+        left = samples if mode is None else _left_over(samples, mode)
+        if _least_bits(left) < bits and (n := _literal_bits(left)) < bits:
+            blocks = -(-samples.shape[0] // 512) * -(-samples.shape[1] // 512)
+            bits, how = n, {} if mode is None else {"transforms": (PREDICTOR,), "block": 9, "modes": [mode] * blocks}
+    if np.count_nonzero(np.bincount(samples.ravel(), minlength=256)) <= 16 and 8 * len(few := encode(pixels, (PALETTE,))) < bits:
+        return few
+    return encode(pixels, **how)
+
+
 def store(payload: bytes) -> bytes:
     """The payload, a positive multiple of 576 bytes, as one lossless image after another."""
-    out = []
-    for a in range(0, len(payload), UNIT * MAX_HEIGHT):
-        samples = np.frombuffer(payload, np.uint8)[a : a + UNIT * MAX_HEIGHT].reshape(-1, UNIT)
-        few = np.count_nonzero(np.bincount(samples.ravel(), minlength=256)) <= 16
-        out.append(encode(samples.astype(np.uint32) << np.uint32(8) | np.uint32(OPAQUE), (PALETTE,) if few else ()))
-    return b"".join(out)
+    samples = np.frombuffer(payload, np.uint8).reshape(-1, UNIT)
+    return b"".join(stored_image(samples[a : a + MAX_HEIGHT]) for a in range(0, len(samples), MAX_HEIGHT))
 
 
 def images(stored: bytes) -> Iterator[np.ndarray]:
@@ -693,5 +922,20 @@ def stored_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return arrow_map(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("raw")), run, "doc_id long, media binary")
 
 
+def pixel_arrays(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
+    """doc_id, image (from 0), width, height and pixels (ARGB, row by row) of the lossless WebP images that follow one another in media; a null has none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["doc_id", "image", "width", "height", "pixels"]
+        for b in batches:
+            for i in range(b.num_rows):  # an image at a time
+                for k, image in enumerate(images(b.column(1)[i].as_py() or b"")):
+                    height, width = image.shape
+                    arrays = [pa.array([k], pa.int32()), pa.array([width], pa.int32()), pa.array([height], pa.int32()), pa.array([image.ravel().astype(np.int64)], pa.list_(pa.int64()))]
+                    yield pa.RecordBatch.from_arrays([b.column(0).slice(i, 1), *arrays], names=names)
+
+    return arrow_map(media.select(F.col(id_col).cast("long").alias("doc_id"), F.col(media_col).cast("binary").alias("media")), run, "doc_id long, image int, width int, height int, pixels array<long>")
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     return media_columns(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -354,12 +354,11 @@ def test_webp_chains_over_windows():
     reader.at = 40
     reader.read(3)
     code = webp._read_code(reader, 280)
-    for _ in range(4):
-        webp._read_code(reader, 256)
+    far = [webp._read_code(reader, a) for a in (256, 256, 256, webp.DISTANCES)][-1]
     at = reader.at
     for window, jumps in ((64, 2), (1 << 12, 5), (1 << 19, 5)):
         reader.at = at
-        assert (webp._chain(reader, code, samples.size, window, jumps) == samples.ravel()).all()
+        assert (webp._chain(reader, code, far, 500, samples.size, window, jumps) == samples.ravel()).all()
 
 
 def test_webp_many_images(monkeypatch):
