@@ -95,7 +95,7 @@ def test_url_verdicts_as_brute_force(spark, seed):
     rows, labels = [], {}
     badness = {"a": 1.0, "b": 0.0, "c": 0.0, "d": 0.5}
     for i in range(1500):
-        parts = [rng.choice("abcd") for _ in range(rng.randint(0, 2))] + rng.choice([[], [str(rng.randrange(50))], [f"n{rng.randrange(30)}x"], ["7.html"] * 3])
+        parts = [rng.choice("abcd") for _ in range(rng.randint(1, 2))] + rng.choice([[], [str(rng.randrange(50))], [f"n{rng.randrange(30)}x"], ["7.html"] * 3])
         rows.append((i, f"http://{rng.choice(['h.org', 'h.org', 'g.org', 'k.io', 'x.example.com'])}/" + "/".join(parts)))
         if parts and rng.random() < 0.6:
             labels[i] = rng.random() < badness.get(parts[0], 0.5)
