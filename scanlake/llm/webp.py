@@ -19,6 +19,7 @@ extra columns are ignored; an empty table gives none.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import heapq
 import math
@@ -153,27 +154,35 @@ def code_lengths(counts: np.ndarray, limit: int = 15) -> np.ndarray:
         least *= 2
 
 
+@functools.cache
+def _mirrored(bits: int) -> np.ndarray:
+    """The numbers of so many bits, each with its bits in reverse order."""
+    n, out = np.arange(1 << bits), np.zeros(1 << bits, np.int64)
+    for i in range(bits):
+        out |= (n >> i & 1) << bits - 1 - i
+    return out
+
+
 class _Code:
     """A prefix code as a table over the next ``bits`` bits."""
 
-    def __init__(self, lengths: np.ndarray):
-        self.lengths = lengths = np.asarray(lengths, np.int64)
+    def __init__(self, lengths: np.ndarray | None, only: int | None = None):
+        self.only, self.bits, self._table = only, 0, None  # a lone symbol takes no bits
+        if lengths is None:
+            return
+        self.lengths = lengths
         used = np.flatnonzero(lengths)
-        if not len(used):
-            used = np.array([0])
-        self.only = int(used[0]) if len(used) == 1 else None  # then no bits are read
-        self.bits = 0 if self.only is not None else int(lengths.max())
-        if self.only is None:
-            if (1 << self.bits) != int((1 << (self.bits - lengths[used])).sum()):
-                raise ValueError("the prefix code is not complete")
-            self.symbol = np.zeros(1 << self.bits, np.int32)
-            self.length = np.zeros(1 << self.bits, np.uint8)
-            codes = canonical(lengths)
-            for s in used.tolist():
-                n = int(lengths[s])
-                self.symbol[codes[s] :: 1 << n] = s
-                self.length[codes[s] :: 1 << n] = n
-            self._table: list | None = None
+        if len(used) < 2:
+            self.only = int(used[0]) if len(used) else 0
+            return
+        own = lengths[used]
+        self.bits = int(own.max())
+        if (1 << self.bits) != int((1 << (self.bits - own)).sum()):
+            raise ValueError("the prefix code is not complete")
+        # in the order of codes each symbol has a run of places, as long as its code is short
+        order = np.argsort(own, kind="stable")
+        runs = np.repeat(order, 1 << (self.bits - own[order]))[_mirrored(self.bits)]
+        self.symbol, self.length = used[runs].astype(np.int32), own[runs].astype(np.uint8)
 
     def read(self, r: _Reader) -> int:
         if self.only is not None:
@@ -190,13 +199,18 @@ class _Code:
 
 
 def _read_code(r: _Reader, alphabet: int) -> _Code:
-    lengths = np.zeros(alphabet, np.int64)
     if r.read(1):
         two = r.read(1)
-        lengths[r.read(8 if r.read(1) else 1)] = 1
-        if two:
-            lengths[r.read(8)] = 1
+        first = r.read(8 if r.read(1) else 1)
+        second = r.read(8) if two else first
+        if max(first, second) >= alphabet:
+            raise ValueError("a code has a symbol beyond its alphabet")
+        if first == second:
+            return _Code(None, first)
+        lengths = np.zeros(alphabet, np.int64)
+        lengths[[first, second]] = 1
         return _Code(lengths)
+    lengths = np.zeros(alphabet, np.int64)
     order = np.zeros(19, np.int64)
     for i in range(4 + r.read(4)):
         order[CODE_LENGTH_ORDER[i]] = r.read(3)
@@ -272,25 +286,29 @@ def _chain(r: _Reader, code: _Code, far: _Code, width: int, n: int, window: int
     """n samples: literals of one code, and back-references whose distances the code far has."""
     raw = np.frombuffer(r.padded, np.uint8)
     out = np.empty(n, np.uint8)
-    done, at, mask = 0, r.at, np.uint32((1 << code.bits) - 1)
+    done, at, mask = 0, r.at, (1 << code.bits) - 1
     copies = bool(code.lengths[LITERALS:].any())
-    shifts = np.arange(8, dtype=np.uint32)
+    steps = code.length.astype(np.int64)
+    if copies:
+        steps[code.symbol >= LITERALS] = 0  # found by that
+    shifts = np.arange(8)
     while done < n:
         first = at >> 3
         size = min(window, 8 * (len(r.data) - first))
         if size <= at - 8 * first:
             raise ValueError("the image ends early")
-        b = raw[first : first + (size >> 3) + 8].astype(np.uint32)
-        words = b[:-2] | b[1:-1] << np.uint32(8) | b[2:] << np.uint32(16)  # 24 bits from each byte on
+        b = raw[first : first + (size >> 3) + 8].astype(np.int64)
+        words = b[:-2] | b[1:-1] << 8 | b[2:] << 16  # 24 bits from each byte on
         windows = ((words[: size >> 3, None] >> shifts) & mask).ravel()
         # from its end on a place stays where it is
-        after = np.arange(size + 96, dtype=np.int32)
-        after[:size] += code.length[windows]
+        after = np.arange(size + 96)
+        step = steps.take(windows)
+        after[:size] += step
         if copies:
-            bits_at = lambda p, k: words[np.minimum(p >> 3, len(words) - 1)] >> (p & 7).astype(np.uint32) & ((1 << k) - 1)
-            starts = np.flatnonzero(code.symbol[windows] >= LITERALS).astype(np.int64)
-            kind = code.symbol[windows[starts]] - LITERALS
-            p = after[starts] + _extra_bits(kind)
+            bits_at = lambda p, k: words[np.minimum(p >> 3, len(words) - 1)] >> (p & 7) & ((1 << k) - 1)
+            starts = np.flatnonzero(step == 0)
+            kind = code.symbol[windows[starts]].astype(np.int64) - LITERALS
+            p = starts + code.length[windows[starts]] + _extra_bits(kind)
             if far.only is None:
                 there = bits_at(p, far.bits)
                 p = p + far.length[there]
@@ -300,20 +318,20 @@ def _chain(r: _Reader, code: _Code, far: _Code, width: int, n: int, window: int
             after[starts] = p + _extra_bits(kind)
         jump = after
         for _ in range(jumps):
-            jump = jump[jump]
+            jump = jump.take(jump)
         places, place = [], at - 8 * first
         limit = (n - done >> jumps) + 1
         while place < size and len(places) < limit:
             places.append(place)
             place = int(jump[place])
-        row = np.array(places, np.int32)
-        every = np.empty((1 << jumps, len(row)), np.int32)
+        row = np.array(places)
+        every = np.empty((1 << jumps, len(row)), np.int64)
         for i in range(1 << jumps):
             every[i] = row
-            row = after[row]
+            row = after.take(row)
         every = every.T.ravel()
         every = every[every < size][: n - done]
-        symbols = code.symbol[windows[every]]
+        symbols = code.symbol.take(windows.take(every))
         if not copies:
             out[done : done + len(every)] = symbols
             done += len(every)
@@ -321,8 +339,8 @@ def _chain(r: _Reader, code: _Code, far: _Code, width: int, n: int, window: int
             which = np.flatnonzero(symbols >= LITERALS)
             counts = np.ones(len(every), np.int64)
             if len(which):
-                kind, p = symbols[which] - LITERALS, every[which] + code.length[windows[every[which]]].astype(np.int64)
-                counts[which] = _value(kind, bits_at(p, _extra_bits(kind)).astype(np.int64))
+                kind, p = symbols[which].astype(np.int64) - LITERALS, every[which] + code.length[windows[every[which]]]
+                counts[which] = _value(kind, bits_at(p, _extra_bits(kind)))
             ends = done + np.cumsum(counts)
             cut = int(np.searchsorted(ends, n)) + 1
             every, symbols, ends, which = every[:cut], symbols[:cut], ends[:cut], which[which < cut]
@@ -332,14 +350,14 @@ def _chain(r: _Reader, code: _Code, far: _Code, width: int, n: int, window: int
             literal[which] = False
             out[ends[literal] - 1] = symbols[literal]
             if len(which):
-                kind = symbols[which] - LITERALS
-                p = every[which] + code.length[windows[every[which]]].astype(np.int64) + _extra_bits(kind)
+                kind = symbols[which].astype(np.int64) - LITERALS
+                p = every[which] + code.length[windows[every[which]]] + _extra_bits(kind)
                 if far.only is None:
                     there = bits_at(p, far.bits)
-                    p, kind = p + far.length[there], far.symbol[there]
+                    p, kind = p + far.length[there], far.symbol[there].astype(np.int64)
                 else:
                     kind = np.full(len(p), far.only)
-                back = _value(kind, bits_at(p, _extra_bits(kind)).astype(np.int64))
+                back = _value(kind, bits_at(p, _extra_bits(kind)))
                 near = back <= 120
                 steps = np.array(NEAR)[np.minimum(back, 120) - 1]
                 back = np.where(near, np.maximum(1, steps[:, 0] + steps[:, 1] * width), back - 120)
@@ -713,24 +731,24 @@ class _Copied:
     def write(self, w: _Writer) -> None:
         w.write(0, 1)  # no cache
         w.write(0, 1)  # one group of codes
-        one = np.zeros(256, np.int64)
-        one[0] = 1
-        full = np.zeros(256, np.int64)
-        full[255] = 1
-        for n in (self.green, one, one, full, self.distances):
-            _write_code(w, n)
-        copy = np.flatnonzero(self.symbols >= LITERALS)
-        lone_far = np.count_nonzero(self.distances) < 2
-        values, sizes = np.zeros((len(self.symbols), 5), np.int64), np.zeros((len(self.symbols), 5), np.int64)
+        _write_code(w, self.green)
+        for constant in (0, 0, 255):  # red, blue, alpha
+            for value, bits in ((1, 1), (0, 1), (1, 1), (constant, 8)):
+                w.write(value, bits)
+        _write_code(w, self.distances)
+        copied = self.symbols >= LITERALS
+        ends = np.cumsum(np.where(copied, 5, 1))  # a copy has five parts, some of which may be of no bits
+        at = ends - np.where(copied, 5, 1)
+        values, sizes = np.zeros((2, int(ends[-1])), np.int64)
         if np.count_nonzero(self.green) > 1:
-            values[:, 0], sizes[:, 0] = canonical(self.green)[self.symbols], self.green[self.symbols]
-        values[copy, 1], sizes[copy, 1] = self.length[1:]
-        if not lone_far:
-            values[copy, 2], sizes[copy, 2] = canonical(self.distances)[self.far[0]], self.distances[self.far[0]]
-        values[copy, 3], sizes[copy, 3] = self.far[1] & 0xFFFF, np.minimum(self.far[2], 16)
-        values[copy, 4], sizes[copy, 4] = self.far[1] >> 16, np.maximum(self.far[2] - 16, 0)
-        used = sizes.ravel() > 0
-        w.extend(values.ravel()[used], sizes.ravel()[used])
+            values[at], sizes[at] = canonical(self.green)[self.symbols], self.green[self.symbols]
+        at = at[copied]
+        values[at + 1], sizes[at + 1] = self.length[1:]
+        if np.count_nonzero(self.distances) > 1:
+            values[at + 2], sizes[at + 2] = canonical(self.distances)[self.far[0]], self.distances[self.far[0]]
+        values[at + 3], sizes[at + 3] = self.far[1] & 0xFFFF, np.minimum(self.far[2], 16)
+        values[at + 4], sizes[at + 4] = self.far[1] >> 16, np.maximum(self.far[2] - 16, 0)
+        w.extend(values, sizes)
 
 
 def _write_pixels(w: _Writer, pixels: np.ndarray, main: bool, cache_bits: int = 0, references: bool = False, limit: int = 12, copied: _Copied | None = None) -> None:
