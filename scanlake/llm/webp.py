@@ -61,7 +61,7 @@ LITERALS, LENGTHS, DISTANCES = 256, 24, 40
 class _Reader:
     def __init__(self, data: bytes):
         self.data, self.at = data, 0
-        self.padded = data + bytes(8)
+        self.padded = data + bytes(32)
 
     def read(self, n: int) -> int:
         if self.at + n > 8 * len(self.data):
@@ -184,14 +184,18 @@ class _Code:
         runs = np.repeat(order, 1 << (self.bits - own[order]))[_mirrored(self.bits)]
         self.symbol, self.length = used[runs].astype(np.int32), own[runs].astype(np.uint8)
 
+    def table(self) -> list[tuple[int, int]]:
+        """Symbol and bits for what the next bits can be."""
+        if self._table is None:
+            self._table = [(self.only, 0)] if self.only is not None else list(zip(self.symbol.tolist(), self.length.tolist(), strict=True))
+        return self._table
+
     def read(self, r: _Reader) -> int:
         if self.only is not None:
             return self.only
-        if self._table is None:
-            self._table = list(zip(self.symbol.tolist(), self.length.tolist(), strict=True))
         at = r.at
         window = int.from_bytes(r.padded[at >> 3 : (at >> 3) + 4], "little") >> (at & 7) & ((1 << self.bits) - 1)
-        symbol, n = self._table[window]
+        symbol, n = (self._table or self.table())[window]
         r.at = at + n
         if r.at > 8 * len(r.data):
             raise ValueError("the image ends early")
@@ -216,20 +220,32 @@ def _read_code(r: _Reader, alphabet: int) -> _Code:
         order[CODE_LENGTH_ORDER[i]] = r.read(3)
     of_lengths = _Code(order)
     left = 2 + r.read(2 + 2 * r.read(3)) if r.read(1) else alphabet
-    at, previous = 0, 8
+    at, previous, made = 0, 8, []
+    # the bits that the rest can take at most, as one number that is shifted along
+    held = int.from_bytes(r.padded[r.at >> 3 : (r.at + 14 * alphabet >> 3) + 1], "little") >> (r.at & 7)
+    used, mask, table = 0, (1 << of_lengths.bits) - 1, of_lengths.table()
     while at < alphabet and left:
         left -= 1
-        n = of_lengths.read(r)
+        n, size = table[held & mask]
+        held >>= size
+        used += size
         if n < 16:
-            lengths[at] = n
+            made.append(n)
             at += 1
             previous = n or previous
             continue
-        times = 3 + r.read(2) if n == 16 else 3 + r.read(3) if n == 17 else 11 + r.read(7)
-        if at + times > alphabet:
-            raise ValueError("a run of code lengths is too long")
-        lengths[at : at + times] = previous if n == 16 else 0
+        least, size = (3, 2) if n == 16 else (3, 3) if n == 17 else (11, 7)
+        times = least + (held & (1 << size) - 1)
+        held >>= size
+        used += size
+        made += [previous if n == 16 else 0] * times
         at += times
+    if at > alphabet:
+        raise ValueError("a run of code lengths is too long")
+    r.at += used
+    if r.at > 8 * len(r.data):
+        raise ValueError("the image ends early")
+    lengths[:at] = made
     return _Code(lengths)
 
 
@@ -262,13 +278,10 @@ def _write_code(w: _Writer, lengths: np.ndarray) -> None:
     for s in CODE_LENGTH_ORDER[:n]:
         w.write(int(own[s]), 3)
     w.write(0, 1)  # all of the alphabet follows
-    codes = canonical(own)
-    lone = np.count_nonzero(own) == 1
-    for s, extra, bits in tokens:
-        if not lone:
-            w.write(int(codes[s]), int(own[s]))
-        if bits:
-            w.write(extra, bits)
+    codes = canonical(own).tolist()
+    sizes = [0] * 19 if np.count_nonzero(own) == 1 else own.tolist()  # a lone symbol takes no bits
+    w.held += [x for s, extra, _ in tokens for x in (codes[s] if sizes[s] else 0, extra)]
+    w.bits += [x for s, _, bits in tokens for x in (sizes[s], bits)]
 
 
 # ---- decoding -------------------------------------------------------------------------------------------------
@@ -282,7 +295,7 @@ def _value(code: np.ndarray, extra: np.ndarray) -> np.ndarray:
     return np.where(code < 4, code + 1, (2 + (code & 1) << _extra_bits(code)) + extra + 1)
 
 
-def _chain(r: _Reader, code: _Code, far: _Code, width: int, n: int, window: int = 1 << 19, jumps: int = 5) -> np.ndarray:
+def _chain(r: _Reader, code: _Code, far: _Code, width: int, n: int, window: int = 1 << 16, jumps: int = 4) -> np.ndarray:
     """n samples: literals of one code, and back-references whose distances the code far has."""
     raw = np.frombuffer(r.padded, np.uint8)
     out = np.empty(n, np.uint8)
@@ -297,15 +310,16 @@ def _chain(r: _Reader, code: _Code, far: _Code, width: int, n: int, window: int
         size = min(window, 8 * (len(r.data) - first))
         if size <= at - 8 * first:
             raise ValueError("the image ends early")
-        b = raw[first : first + (size >> 3) + 8].astype(np.int64)
-        words = b[:-2] | b[1:-1] << 8 | b[2:] << 16  # 24 bits from each byte on
+        # 40 bits from each byte on, and from those that a copy which begins in this window may reach
+        b = raw[first : first + (size >> 3) + 20].astype(np.int64)
+        words = b[:-4] | b[1:-3] << 8 | b[2:-2] << 16 | b[3:-1] << 24 | b[4:] << 32
         windows = ((words[: size >> 3, None] >> shifts) & mask).ravel()
         # from its end on a place stays where it is
         after = np.arange(size + 96)
-        step = steps.take(windows)
+        step = steps.take(windows, mode="clip")
         after[:size] += step
         if copies:
-            bits_at = lambda p, k: words[np.minimum(p >> 3, len(words) - 1)] >> (p & 7) & ((1 << k) - 1)
+            bits_at = lambda p, k: words[p >> 3] >> (p & 7) & ((1 << k) - 1)
             starts = np.flatnonzero(step == 0)
             kind = code.symbol[windows[starts]].astype(np.int64) - LITERALS
             p = starts + code.length[windows[starts]] + _extra_bits(kind)
@@ -318,7 +332,7 @@ def _chain(r: _Reader, code: _Code, far: _Code, width: int, n: int, window: int
             after[starts] = p + _extra_bits(kind)
         jump = after
         for _ in range(jumps):
-            jump = jump.take(jump)
+            jump = jump.take(jump, mode="clip")
         places, place = [], at - 8 * first
         limit = (n - done >> jumps) + 1
         while place < size and len(places) < limit:
@@ -328,7 +342,7 @@ def _chain(r: _Reader, code: _Code, far: _Code, width: int, n: int, window: int
         every = np.empty((1 << jumps, len(row)), np.int64)
         for i in range(1 << jumps):
             every[i] = row
-            row = after.take(row)
+            row = after.take(row, mode="clip")
         every = every.T.ravel()
         every = every[every < size][: n - done]
         symbols = code.symbol.take(windows.take(every))
@@ -359,8 +373,8 @@ def _chain(r: _Reader, code: _Code, far: _Code, width: int, n: int, window: int
                     kind = np.full(len(p), far.only)
                 back = _value(kind, bits_at(p, _extra_bits(kind)))
                 near = back <= 120
-                steps = np.array(NEAR)[np.minimum(back, 120) - 1]
-                back = np.where(near, np.maximum(1, steps[:, 0] + steps[:, 1] * width), back - 120)
+                x, y = np.array(NEAR)[np.minimum(back, 120) - 1].T
+                back = np.where(near, np.maximum(1, x + y * width), back - 120)
                 for a, e, d in zip((ends[which] - counts[which]).tolist(), ends[which].tolist(), back.tolist(), strict=True):
                     if d > a:
                         raise ValueError("a back-reference leaves the image")
@@ -671,11 +685,12 @@ def copies_in(samples: np.ndarray) -> list[tuple[int, int, int]]:
     key = eight[:n] * np.uint64(0x9E3779B185EBCA87) ^ eight[LEAST_COPY - 8 : LEAST_COPY - 8 + n]
     order = np.argsort(key)
     own = key[order]
-    same = own[1:] == own[:-1]
-    again = np.flatnonzero(np.append(same, False) | np.insert(same, 0, False))
+    same = np.zeros(n + 1, bool)  # as the key before, and at the place after the last
+    same[1:n] = own[1:] == own[:-1]
+    again = np.flatnonzero(same[1:] | same[:-1])
     if not len(again):
         return []
-    order, run = order[again], np.cumsum(~np.insert(same, 0, False))[again]
+    order, run = order[again], np.cumsum(~same[:-1])[again]
     by_place = np.argsort(run * np.int64(len(samples)) + order)
     order, run = order[by_place], run[by_place]
     same = np.flatnonzero(run[1:] == run[:-1])

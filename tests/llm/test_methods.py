@@ -359,6 +359,22 @@ def test_copies_and_bulk_decoding(parts, width):
         assert (webp.decode(webp.encode(pixels, (), 0, True)) == pixels).all()
 
 
+def test_copies_over_windows_and_far_back(monkeypatch):
+    rng = np.random.default_rng(4)
+    once = np.minimum(rng.geometric(0.05, 700_000), 255).astype(np.uint8)
+    far = np.concatenate([once, once[:3000], once[::-1][:500], once[100:900]])
+    near = np.concatenate([np.tile(once[a : a + 30], 3) for a in range(0, 60_000, 30)])
+    for samples in (far, near):
+        payload = webp.padded(samples.tobytes())
+        stored = webp.store(payload)
+        assert len(stored) < len(payload) and webp.load(stored) == payload
+        for window, jumps in ((1 << 8, 2), (1 << 13, 3)):
+            monkeypatch.setattr(webp._chain, "__defaults__", (window, jumps))
+            if len(samples) < 300_000 or window > 256:
+                assert webp.load(stored) == payload
+        monkeypatch.undo()
+
+
 def forms(raw):
     seen, encode = [], webp.encode
 
