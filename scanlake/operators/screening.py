@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..plans.model import Scan
 from . import dpc, reduce
-from .reduce import KEYS, Probe
+from .reduce import Probe, keys_of, one_dataset
 
 VERSION = 1
 TABLES = ("mean_dp", "products", "phase")
@@ -38,16 +38,17 @@ def source_identity(frames: DataFrame) -> str:
 def prepare(scan: Scan, rotation_steps: int = 90, rotation_deg: float | None = None) -> Screening:
     """Two passes over the frames: the first for the mean pattern and the probe, the second for all the rest."""
     scan.validate()
-    mean = reduce.mean_dp(scan.pixels()).cache()
+    one_dataset(scan.frames)
+    mean = reduce.mean_dp(scan).drop("dataset_id").cache()
     probe = Probe(*reduce.auto_probe(mean).first())
-    sums = reduce.screening_sums(scan.pixels(), probe)
+    sums = reduce.screening_sums(scan, probe).drop("dataset_id")
     at = lambda m: F.when(F.col("total") > 0, F.col(m) / F.col("total")).otherwise(0.0)
     products = sums.withColumn("com_row", at("row_moment")).withColumn("com_col", at("col_moment")).cache()
-    com = dpc.centered(products.select(*KEYS, "com_row", "com_col"))
+    com = dpc.centered(products.select(*keys_of(products), "com_row", "com_col"))
     angle, transposed = dpc.find_rotation(com, rotation_steps) if rotation_deg is None else (rotation_deg, False)
     turned = dpc.rotated(com, angle, transposed)
-    gradient = turned if not transposed else turned.select(*KEYS, F.col("com_col").alias("com_row"), F.col("com_row").alias("com_col"))
-    return Screening(mean, products.drop("com_row", "com_col").join(turned, KEYS), dpc.integrate(gradient), probe, angle, transposed)
+    gradient = turned if not transposed else turned.select(*keys_of(turned), F.col("com_col").alias("com_row"), F.col("com_row").alias("com_col"))
+    return Screening(mean, products.drop("com_row", "com_col").join(turned, keys_of(products)), dpc.integrate(gradient), probe, angle, transposed)
 
 
 def save(result: Screening, path: str, identity: str) -> None:

@@ -20,7 +20,7 @@ RC = '"row", col'
 def totals(spark: SparkSession, d: str) -> tuple[DataFrame, tuple[int, int]]:
     """The image of total counts, and its shape."""
     scan = embeddings_scan(spark, d)
-    sums = reduce.total_counts(scan.pixels())
+    sums = reduce.total_counts(scan)
     return sums.select(F.col("scan_row").alias("row"), F.col("scan_col").alias("col"), F.col("value").cast("double").alias("value")), scan.scan_shape
 
 

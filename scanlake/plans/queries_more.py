@@ -75,7 +75,7 @@ def _(spark, d):
 @query("agg_22_custom_detector", f"{W} SELECT {K}, CAST(sum(CASE WHEN (det_row-4)*(det_row-4)+(det_col-4)*(det_col-4) BETWEEN 2.25 AND 12.25 THEN n ELSE 0 END) AS BIGINT) AS value FROM pixels GROUP BY ALL")
 def _(spark, d):
     mask = select.roi(F.col("det_row"), F.col("det_col"), "annular", (4, 4), 3.5, 1.5)
-    return reduce.virtual_images(embeddings_scan(spark, d).pixels(), {"value": mask})
+    return reduce.virtual_images(embeddings_scan(spark, d), {"value": mask})
 
 
 @query("agg_24_selected_frames_sum", f"{W} SELECT {K}, CAST(sum(CASE WHEN det_row < 3 THEN n ELSE 0 END) AS BIGINT) AS value FROM pixels WHERE frame_idx BETWEEN 100 AND 149 GROUP BY ALL")
@@ -89,7 +89,7 @@ def _(spark, d):
 @query("agg_26_signed_delta", f"{W} SELECT {K}, CAST(sum(CASE WHEN det_col >= 4 THEN n ELSE 0 END) - sum(CASE WHEN det_col < 4 THEN n ELSE 0 END) AS BIGINT) AS value FROM pixels GROUP BY ALL")
 def _(spark, d):
     """What changes when a detector moves: pixels that it gains minus those that it loses."""
-    both = reduce.virtual_images(embeddings_scan(spark, d).pixels(), {"gained": F.col("det_col") >= 4, "lost": F.col("det_col") < 4})
+    both = reduce.virtual_images(embeddings_scan(spark, d), {"gained": F.col("det_col") >= 4, "lost": F.col("det_col") < 4})
     return both.select(*reduce.KEYS, (F.col("gained") - F.col("lost")).alias("value"))
 
 

@@ -111,7 +111,7 @@ def _(spark, d):
 def _(spark, d):
     row, col = F.col("det_row"), F.col("det_col")
     masks = {"circle": dict(radius=2), "annular": dict(inner=2, radius=3), "square": dict(radius=1), "rect": dict(half=(1, 2)), "point": {}}
-    return reduce.virtual_images(embeddings_scan(spark, d).pixels(), {k: select.roi(row, col, k, (3, 4), **o) for k, o in masks.items()})
+    return reduce.virtual_images(embeddings_scan(spark, d), {k: select.roi(row, col, k, (3, 4), **o) for k, o in masks.items()})
 
 
 @query("sel_14_bf_columns", f"{W} SELECT CAST((det_row - 2) * 3 + det_col - 3 AS INTEGER) AS bf_idx, scan_row, scan_col, n FROM pixels WHERE det_row BETWEEN 2 AND 4 AND det_col BETWEEN 3 AND 5")
@@ -201,28 +201,28 @@ def _(spark, d):
 
 @query("agg_01_mean_dp", f"{W} SELECT det_row, det_col, {r6('CAST(sum(n) AS DOUBLE) / count(*)')} AS value FROM pixels GROUP BY ALL")
 def _(spark, d):
-    return reduce.mean_dp(embeddings_scan(spark, d).pixels()).withColumn("value", ROUND("value"))
+    return reduce.mean_dp(embeddings_scan(spark, d)).withColumn("value", ROUND("value"))
 
 
 @query("agg_02_masked_sum", f"{W} SELECT {K}, CAST(sum(CASE WHEN det_row BETWEEN 2 AND 5 AND det_col BETWEEN 1 AND 3 THEN n ELSE 0 END) AS BIGINT) AS value FROM pixels GROUP BY ALL")
 def _(spark, d):
     mask = spark.createDataFrame([(r, c) for r in range(2, 6) for c in range(1, 4)], "det_row int, det_col int")
-    return reduce.masked_sum(embeddings_scan(spark, d).pixels(), mask)
+    return reduce.masked_sum(embeddings_scan(spark, d), mask)
 
 
 @query("agg_02_empty_mask", f"{W} SELECT {K}, CAST(0 AS BIGINT) AS value FROM pixels GROUP BY ALL")
 def _(spark, d):
-    return reduce.masked_sum(embeddings_scan(spark, d).pixels(), spark.createDataFrame([], "det_row int, det_col int"))
+    return reduce.masked_sum(embeddings_scan(spark, d), spark.createDataFrame([], "det_row int, det_col int"))
 
 
 @query("agg_04_total_minus_complement", f"{W} SELECT {K}, CAST(sum(CASE WHEN det_row + det_col > 2 THEN n ELSE 0 END) AS BIGINT) AS value FROM pixels GROUP BY ALL")
 def _(spark, d):
-    return reduce.total_minus_complement(embeddings_scan(spark, d).pixels(), F.col("det_row") + F.col("det_col") > 2)
+    return reduce.total_minus_complement(embeddings_scan(spark, d), F.col("det_row") + F.col("det_col") > 2)
 
 
 @query("agg_05_total_counts", f"{W} SELECT {K}, CAST(sum(n) AS BIGINT) AS value FROM pixels GROUP BY ALL")
 def _(spark, d):
-    return reduce.total_counts(embeddings_scan(spark, d).pixels())
+    return reduce.total_counts(embeddings_scan(spark, d))
 
 
 for _how, _sql in (("mean", r6("CAST(sum(n) AS DOUBLE) / count(*)")), ("sum", "CAST(sum(n) AS BIGINT)"), ("max", "max(n)")):
@@ -238,7 +238,7 @@ for _how, _sql in (("mean", r6("CAST(sum(n) AS DOUBLE) / count(*)")), ("sum", "C
 def _(spark, d):
     scan = embeddings_scan(spark, d)
     bands = reduce.bands_of(reduce.fitted_probe(scan), 0.25, 1.5)
-    return reduce.virtual_images(scan.pixels(), {m.lower(): c for m, c in bands.items()})
+    return reduce.virtual_images(scan, {m.lower(): c for m, c in bands.items()})
 
 
 for _name, _f, _band in (("agg_09_bf", reduce.bf, "BETWEEN 0 AND rad"), ("agg_10_adf", reduce.adf, "BETWEEN rad AND 2 * rad"), ("agg_11_df", reduce.df, ">= rad")):
@@ -260,23 +260,23 @@ def _(spark, d):
 
 @query("agg_14_auto_probe", f"{W}{PROBE} SELECT {r6('pr')} AS \"row\", {r6('pc')} AS col, {r6('rad')} AS radius FROM probe")
 def _(spark, d):
-    return reduce.auto_probe(reduce.mean_dp(embeddings_scan(spark, d).pixels())).select(*[ROUND(c).alias(c) for c in ("row", "col", "radius")])
+    return reduce.auto_probe(reduce.mean_dp(embeddings_scan(spark, d))).select(*[ROUND(c).alias(c) for c in ("row", "col", "radius")])
 
 
 @query("agg_15_bf_radius")
 def _(spark, d):
-    p = reduce.bf_radius(reduce.mean_dp(embeddings_scan(spark, d).pixels()), (8, 8))
+    p = reduce.bf_radius(reduce.mean_dp(embeddings_scan(spark, d)), (8, 8))
     return spark.createDataFrame([(int(p.row), int(p.col), int(p.radius))], "row int, col int, radius int")
 
 
 @query("agg_16_bf_disk", f"{W}{PROBE} SELECT CAST(row_number() OVER (ORDER BY det_row, det_col) - 1 AS INTEGER) AS bf_idx, det_row, det_col FROM dp WHERE value > 0.99 * (SELECT max(value) FROM dp)")
 def _(spark, d):
-    return reduce.bf_disk(reduce.mean_dp(embeddings_scan(spark, d).pixels()), 0.99)
+    return reduce.bf_disk(reduce.mean_dp(embeddings_scan(spark, d)), 0.99)
 
 
 @query("agg_17_circular_disk", f"{W} SELECT CAST(row_number() OVER (ORDER BY det_row, det_col) - 1 AS INTEGER) AS bf_idx, det_row, det_col FROM (SELECT DISTINCT det_row, det_col FROM pixels WHERE (det_row-4)*(det_row-4)+(det_col-4)*(det_col-4) <= 9)")
 def _(spark, d):
-    return reduce.circular_disk(reduce.mean_dp(embeddings_scan(spark, d).pixels()), (4, 4), 3)
+    return reduce.circular_disk(reduce.mean_dp(embeddings_scan(spark, d)), (4, 4), 3)
 
 
 @query("agg_18_radial_annulus", f"{W} SELECT {K}, CAST(sum(CASE WHEN sqrt(power(det_row-4,2)+power(det_col-3,2)) BETWEEN 2 AND 3 THEN n ELSE 0 END) AS BIGINT) AS value FROM pixels GROUP BY ALL")
@@ -297,7 +297,7 @@ _SCREEN = f"""{W}{PROBE}, s AS (SELECT {K}, CAST(sum(n) AS BIGINT) AS total, CAS
 @query("agg_20_screening_sums", _SCREEN + " SELECT * FROM s")
 def _(spark, d):
     scan = embeddings_scan(spark, d)
-    return reduce.screening_sums(scan.pixels(), reduce.fitted_probe(scan))
+    return reduce.screening_sums(scan, reduce.fitted_probe(scan))
 
 
 @query("agg_21_service_ring", f"{W}{PROBE} SELECT {K}, CAST(sum(CASE WHEN {DIST} BETWEEN 0.5 * rad AND greatest(0.5 * rad + 1, 1.25 * rad) THEN n ELSE 0 END) AS BIGINT) AS value FROM pixels, probe GROUP BY ALL")
@@ -326,7 +326,7 @@ DIFF = """, df AS (SELECT 0.5 * (lead(com_row) OVER a - lag(com_row) OVER a) AS
 
 
 def _com(spark, d):
-    return dpc.center_of_mass(embeddings_scan(spark, d).pixels())
+    return dpc.center_of_mass(embeddings_scan(spark, d))
 
 
 def _six(df: DataFrame, *cols: str) -> DataFrame:
@@ -340,7 +340,7 @@ def _(spark, d):
 
 @query("dpc_01_masked", f"{W} SELECT {K}, {r6('CAST(sum(n * det_row) AS DOUBLE) / CAST(sum(n) AS DOUBLE)')} AS com_row, {r6('CAST(sum(n * det_col) AS DOUBLE) / CAST(sum(n) AS DOUBLE)')} AS com_col FROM pixels WHERE det_row BETWEEN 2 AND 5 GROUP BY ALL")
 def _(spark, d):
-    return _six(dpc.center_of_mass(embeddings_scan(spark, d).pixels(), F.col("det_row").between(2, 5)), "com_row", "com_col")
+    return _six(dpc.center_of_mass(embeddings_scan(spark, d), F.col("det_row").between(2, 5)), "com_row", "com_col")
 
 
 @query("dpc_02_centered", f"{COM} SELECT {K}, {r6('com_row')} AS com_row, {r6('com_col')} AS com_col FROM cen")
@@ -390,7 +390,7 @@ def _(spark, d):
 
 @query("dpc_09_run")
 def _(spark, d):
-    return _six(dpc.run(embeddings_scan(spark, d).pixels())[1], "phase")
+    return _six(dpc.run(embeddings_scan(spark, d))[1], "phase")
 
 
 @query("dpc_10_components", f"{COM} SELECT {K}, {r6('com_row')} AS com_row, {r6('com_col')} AS com_col, {r6('sqrt(com_row * com_row + com_col * com_col)')} AS magnitude FROM cen")
@@ -419,7 +419,7 @@ FLAGSHIP = f"{W}{PROBE}, s AS (SELECT {K}, CAST(sum(CASE WHEN {DIST} <= rad THEN
 def flagship(spark, d):
     """Probe from the mean pattern, then bright field and centre of mass in one pass."""
     scan = embeddings_scan(spark, d)
-    sums = reduce.screening_sums(scan.pixels(), reduce.fitted_probe(scan))
+    sums = reduce.screening_sums(scan, reduce.fitted_probe(scan))
     at = lambda m: F.round(F.when(F.col("total") > 0, F.col(m) / F.col("total")).otherwise(0.0), 6)
     return sums.select(*reduce.KEYS, "bf", at("row_moment").alias("com_row"), at("col_moment").alias("com_col"))
 

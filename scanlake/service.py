@@ -101,9 +101,9 @@ class Service:
         at = ("scan_row", "scan_col")
         if mode in ("COMX", "COMY", "COMMAG", "DPC"):
             column = {"COMX": "com_x", "COMY": "com_y", "COMMAG": "com_mag", "DPC": "dpc"}[mode]
-            return _image(dpc.service_modes(dpc.center_of_mass(scan.pixels())), *at, column, scan.scan_shape)
+            return _image(dpc.service_modes(dpc.center_of_mass(scan)), *at, column, scan.scan_shape)
         if mode == "ICOM":
-            return _image(dpc.integrate(dpc.center_of_mass(scan.pixels()).select(*at, "com_row", "com_col")), *at, "phase", scan.scan_shape)
+            return _image(dpc.integrate(dpc.center_of_mass(scan).select(*at, "com_row", "com_col")), *at, "phase", scan.scan_shape)
         if mode not in MODES:
             raise ValueError(f"unknown mode {mode!r}")
         probe = reduce.fitted_probe(scan)
@@ -114,7 +114,7 @@ class Service:
         """What a detector of a given shape sees."""
         scan = self.scan(name)
         mask = select.roi(F.col("det_row"), F.col("det_col"), kind, (row, col), radius, inner)
-        return _image(reduce.virtual_images(scan.pixels(), {"value": mask}), "scan_row", "scan_col", "value", scan.scan_shape)
+        return _image(reduce.virtual_images(scan, {"value": mask}), "scan_row", "scan_col", "value", scan.scan_shape)
 
     # ---- jobs
 
