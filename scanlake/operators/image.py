@@ -210,11 +210,11 @@ def fft_peak(magnitude_: DataFrame, shape: tuple[int, int], near: tuple[float, f
 
 def fft_quality(magnitude_: DataFrame, shape: tuple[int, int], sampling_A: float | None = None, periods_A: tuple[float, float] = (1.0, 6.0)) -> DataFrame:
     """sharp (share of the power in the lattice band, percent), peaks, snr and ring (evenness over 16 directions) of a
-    shifted spectrum of at least 32 pixels a side. One row; nulls where there is nothing to measure."""
+    shifted spectrum. One row; nulls where there is nothing to measure, as below 32 pixels a side."""
     h, w = shape
     reach = min(h, w) / 2
     if reach < 16:
-        raise ValueError("a spectrum has at least 32 pixels a side")
+        return magnitude_.sparkSession.range(1).select(*[F.lit(None).cast(t).alias(c) for c, t in (("sharp", "double"), ("peaks", "long"), ("snr", "double"), ("ring", "double"))])
     low, high = 0.15 * reach, 0.6 * reach
     if sampling_A:
         n = min(h, w)

@@ -94,9 +94,13 @@ def gif(frames: Sequence[np.ndarray], fps: float = 10.0, palette: np.ndarray | N
 
 
 def save_gif(stacks: DataFrame, shape: tuple[int, int], path: str, fps: float = 10.0) -> None:
-    """stacks: frame, row, col, level. The movie is gathered on the driver, which writes the file: it is for viewing."""
-    pdf = stacks.toPandas()
-    frames = np.zeros((int(pdf["frame"].max()) + 1, *shape), np.uint8)
-    frames[pdf["frame"], pdf["row"], pdf["col"]] = pdf["level"]
+    """stacks: frame, row, col, level. Frames are put together on the tasks, a row of bytes each; the driver gathers these and
+    writes the file, which is for viewing. Frames and pixels that are missing are 0."""
+    places = F.collect_list(F.struct((F.col("row") * shape[1] + F.col("col")).cast("int").alias("at"), F.col("level").cast("int").alias("level")))
+    frames: dict[int, np.ndarray] = {}
+    for r in stacks.groupBy("frame").agg(places.alias("p")).select("frame", F.col("p.at").alias("at"), F.col("p.level").alias("level")).toLocalIterator():
+        frames[r["frame"]] = image = np.zeros(shape, np.uint8)
+        image.ravel()[r["at"]] = r["level"]
+    blank = np.zeros(shape, np.uint8)
     with open(path, "wb") as f:
-        f.write(gif(list(frames), fps))
+        f.write(gif([frames.get(i, blank) for i in range(max(frames) + 1)], fps))

@@ -86,20 +86,34 @@ def pairwise_shifts(images: DataFrame, pairs: DataFrame, shape: tuple[int, int],
     return sides.join(images, "bf_idx").groupBy("i", "j").applyInPandas(run, "i int, j int, shift_row double, shift_col double")
 
 
-def synchronize(n: int, relative: DataFrame) -> np.ndarray:
+def synchronize(n: int, relative: DataFrame, tolerance: float = 1e-13) -> np.ndarray:
     """Shifts of n images from those of pairs: the graph's normal equations, with image 0 at rest. The sums are
-    Spark's; the system has a row for each bright-field pixel and is solved on the driver."""
-    a, b = np.zeros((n, n)), np.zeros((n, 2))
-    for i, j, r, c, k in relative.groupBy("i", "j").agg(F.sum("shift_row"), F.sum("shift_col"), F.count("*")).collect():
-        a[i, i] += k
-        a[j, j] += k
-        a[i, j] -= k
-        a[j, i] -= k
-        b[i] -= (r, c)
-        b[j] += (r, c)
-    a[0], a[:, 0], b[0] = 0, 0, 0
-    a[0, 0] = 1
-    return np.linalg.solve(a, b)
+    Spark's; the driver holds a row for each pair of neighbours and solves by conjugate gradients."""
+    rows = relative.groupBy("i", "j").agg(F.sum("shift_row"), F.sum("shift_col"), F.count("*")).collect()
+    if n < 2 or not rows:
+        return np.zeros((n, 2))
+    i, j = (np.array([r[k] for r in rows]) for k in (0, 1))
+    shifts, weight = np.array([r[2:4] for r in rows], float), np.array([r[4] for r in rows], float)[:, None]
+
+    def gathered(flow: np.ndarray) -> np.ndarray:
+        out = np.stack([np.bincount(j, flow[:, k], n) - np.bincount(i, flow[:, k], n) for k in (0, 1)], 1)
+        out[0] = 0
+        return out
+
+    x = np.zeros((n, 2))
+    left = gathered(shifts)
+    way, was = left.copy(), (left**2).sum(0)
+    goal = was * tolerance**2
+    for _ in range(4 * n):
+        if (was <= goal).all():
+            break
+        changed = gathered(weight * (way[j] - way[i]))
+        norm = (way * changed).sum(0)
+        step = np.divide(was, norm, out=np.zeros(2), where=norm > 0)
+        x, left = x + step * way, left - step * changed
+        now = (left**2).sum(0)
+        way, was = left + np.divide(now, was, out=np.zeros(2), where=was > 0) * way, now
+    return x
 
 
 def binned_grid(bf: DataFrame, shape: tuple[int, int], factor: int) -> DataFrame:

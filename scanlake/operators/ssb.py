@@ -239,11 +239,11 @@ class SSB:
         sums = self.moments([theta or Aberrations()]).cache()
         return object_wave(sums).drop("candidate"), mean_phase(sums).drop("candidate")
 
-    def grid_search(self, **steps: Sequence[float]) -> Fit:
-        """Over all combinations of C10, C12 (nm) and phi12 (degrees)."""
+    def grid_search(self, batch: int = 20, **steps: Sequence[float]) -> Fit:
+        """Over all combinations of C10, C12 (nm) and phi12 (degrees). A task holds a batch's sums at a time."""
         axes = [list(steps.get(k, (0.0,))) for k in RANGES]
         points = [(a, b, c) for a in axes[0] for b in axes[1] for c in axes[2]]
-        values = self.loss([_from_units(p) for p in points])
+        values = [v for a in range(0, len(points), batch) for v in self.loss([_from_units(p) for p in points[a : a + batch]])]
         best = int(np.argmin(values))
         return Fit(*points[best], values[best], len(points))
 

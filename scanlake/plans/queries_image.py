@@ -366,12 +366,12 @@ def _(spark, d):
 
 # ---- movies
 
-_STACKS = f"WITH {SQL_PIXELS}, st AS (SELECT scan_row % 2 AS movie, scan_row // 2 AS frame, scan_col, det_row AS \"row\", det_col AS col, n AS value FROM pixels WHERE scan_col = 3)"
+_STACKS = f"WITH {SQL_PIXELS}, st AS (SELECT scan_col AS movie, scan_row AS frame, det_row AS \"row\", det_col AS col, n AS value FROM pixels)"
 
 
 def _stacks(spark: SparkSession, d: str) -> DataFrame:
-    px = embeddings_scan(spark, d).pixels().where("scan_col = 3")
-    return px.select((F.col("scan_row") % 2).alias("movie"), F.floor(F.col("scan_row") / 2).cast("int").alias("frame"), F.col("det_row").alias("row"), F.col("det_col").alias("col"), F.col("n").alias("value"))
+    """Each column of the scan is a movie."""
+    return embeddings_scan(spark, d).pixels().select(F.col("scan_col").alias("movie"), F.col("scan_row").alias("frame"), F.col("det_row").alias("row"), F.col("det_col").alias("col"), F.col("n").alias("value"))
 
 
 @query("mov_02_contrast", f"{_STACKS} SELECT movie, {r6('quantile_cont(value, 0.01)')} AS low, {r6('quantile_cont(value, 0.99)')} AS high FROM st GROUP BY movie")
@@ -379,10 +379,10 @@ def _(spark, d):
     return six(movie.contrast_limits(_stacks(spark, d)), "low", "high")
 
 
-@query("mov_04_tiles", f"{_STACKS}, l AS (SELECT movie, quantile_cont(value, 0.01) AS a, quantile_cont(value, 0.99) AS b FROM st GROUP BY movie) SELECT frame, \"row\", col + movie * 10 AS col, CAST(floor(least(greatest((value - a) / (b - a) * 255, 0), 255)) AS INTEGER) AS level FROM st JOIN l USING (movie)")
+@query("mov_04_tiles", f"{_STACKS}, l AS (SELECT movie, quantile_cont(value, 0.01) AS a, quantile_cont(value, 0.99) AS b FROM st GROUP BY movie) SELECT frame, CAST(\"row\" + movie // 3 * 10 AS INTEGER) AS \"row\", CAST(col + movie % 3 * 10 AS INTEGER) AS col, CAST(floor(least(greatest((value - a) / (b - a) * 255, 0), 255)) AS INTEGER) AS level FROM st JOIN l USING (movie)")
 def _(spark, d):
     stacks = _stacks(spark, d)
-    return movie.tiled(movie.byte_stacks(stacks, movie.contrast_limits(stacks)), (8, 8), 2, gap=2)[0]
+    return movie.tiled(movie.byte_stacks(stacks, movie.contrast_limits(stacks)), (8, 8), 25, gap=2)[0]
 
 
 # ---- streams

@@ -93,10 +93,10 @@ def _(spark, d):
     return both.select(*reduce.KEYS, (F.col("gained") - F.col("lost")).alias("value"))
 
 
-@query("img_02_rotated_stack", f'{W} SELECT frame_idx, CAST(7 - det_col AS INTEGER) AS "row", det_row AS col, CAST(n AS DOUBLE) AS value FROM pixels WHERE frame_idx < 6')
+@query("img_02_rotated_stack", f'{W} SELECT frame_idx, CAST(7 - det_col AS INTEGER) AS "row", det_row AS col, CAST(n AS DOUBLE) AS value FROM pixels')
 def _(spark, d):
-    """Each of several frames turned by a quarter: the pixel at (r, c) goes to (width - 1 - c, r)."""
-    px = embeddings_scan(spark, d).pixels().where("frame_idx < 6")
+    """Each frame turned by a quarter: the pixel at (r, c) goes to (width - 1 - c, r)."""
+    px = embeddings_scan(spark, d).pixels()
     stack = px.select("frame_idx", F.col("det_row").alias("row"), F.col("det_col").alias("col"), F.col("n").cast("double").alias("value"))
     return six(image.rotate(stack, (8, 8), 90.0, by=["frame_idx"]), "value")
 
@@ -279,7 +279,7 @@ def _(spark, d):
     return spark.range(100).select(F.col("id").cast("int").alias("i"), movie.to_bytes(F.col("id"), F.lit(10), F.lit(90)).alias("level"))
 
 
-@query("mov_01_shared_contrast", f"WITH {SQL_PIXELS}, st AS (SELECT scan_row % 2 AS movie, n AS value FROM pixels WHERE scan_col = 3) SELECT DISTINCT movie, {r6('(SELECT quantile_cont(value, 0.05) FROM st)')} AS low, {r6('(SELECT quantile_cont(value, 0.95) FROM st)')} AS high FROM st")
+@query("mov_01_shared_contrast", f"WITH {SQL_PIXELS}, st AS (SELECT scan_col AS movie, n AS value FROM pixels) SELECT DISTINCT movie, {r6('(SELECT quantile_cont(value, 0.05) FROM st)')} AS low, {r6('(SELECT quantile_cont(value, 0.95) FROM st)')} AS high FROM st")
 def _(spark, d):
     return six(movie.contrast_limits(_stacks(spark, d), (5.0, 95.0), shared=True), "low", "high")
 

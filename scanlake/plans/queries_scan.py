@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import binning, dpc, reduce, screening, select
 from .catalog import query, rounded as r6
-from .model import SQL_FRAMES, SQL_PIXELS, embeddings_scan
+from .model import SCAN_COLS, SQL_FRAMES, SQL_PIXELS, embeddings_scan
 
 W = f"WITH {SQL_PIXELS}"
 ROUND = lambda c, n=6: F.round(c, n)
@@ -144,9 +144,9 @@ def _(spark, d):
     return frames.select("frame_idx", F.hex(binning.pack_counts(F.transform("counts", lambda c: c % 16))).alias("packed"))
 
 
-@query("ty_06_dequantize", f"{W} SELECT det_row, det_col, {r6('CAST(n AS DOUBLE) * (2.5 / 255) + (-1.0)')} AS value FROM pixels WHERE frame_idx = 3")
+@query("ty_06_dequantize", f"{W} SELECT {K}, det_row, det_col, {r6('CAST(n AS DOUBLE) * (2.5 / 255) + (-1.0)')} AS value FROM pixels")
 def _(spark, d):
-    return embeddings_scan(spark, d).pixels().where("frame_idx = 3").select("det_row", "det_col", ROUND(binning.dequantize(F.col("n"), -1.0, 1.5)).alias("value"))
+    return embeddings_scan(spark, d).pixels().select(*reduce.KEYS, "det_row", "det_col", ROUND(binning.dequantize(F.col("n"), -1.0, 1.5)).alias("value"))
 
 
 # ---- binning
@@ -263,7 +263,7 @@ def _(spark, d):
     return reduce.auto_probe(reduce.mean_dp(embeddings_scan(spark, d))).select(*[ROUND(c).alias(c) for c in ("row", "col", "radius")])
 
 
-@query("agg_15_bf_radius")
+@query("agg_15_bf_radius", f"{W}{PROBE}, c AS (SELECT round_even(avg(det_row), 0) AS r, round_even(avg(det_col), 0) AS c FROM dp WHERE value > 0.1 * (SELECT max(value) FROM dp)) SELECT CAST(r AS INTEGER) AS \"row\", CAST(c AS INTEGER) AS col, 2 AS radius FROM c")  # a profile of up to five radii gives a quarter of the side
 def _(spark, d):
     p = reduce.bf_radius(reduce.mean_dp(embeddings_scan(spark, d)), (8, 8))
     return spark.createDataFrame([(int(p.row), int(p.col), int(p.radius))], "row int, col int, radius int")
@@ -403,6 +403,61 @@ def _(spark, d):
     return _six(dpc.service_modes(_com(spark, d)), "com_x", "com_y", "com_mag", "dpc")
 
 
+# ---- several datasets at once: the even rows of the scan, and the odd ones
+
+W2 = f"WITH {SQL_FRAMES.replace('CAST(vec_id // 25 AS INTEGER) AS scan_row', 'CAST(vec_id // 50 AS INTEGER) AS scan_row, CAST(vec_id // 25 % 2 AS VARCHAR) AS dataset_id')}, pixels AS (SELECT dataset_id, frame_idx, scan_row, scan_col, CAST(i // 8 AS INTEGER) AS det_row, CAST(i % 8 AS INTEGER) AS det_col, CAST(floor((CAST(embedding[i + 1] AS DOUBLE) + 1) * 100) AS BIGINT) AS n FROM frames, (SELECT unnest(range(64)) AS i))"
+COM2 = f"""{W2}, com AS (SELECT dataset_id, {K}, CAST(sum(n * det_row) AS DOUBLE) / CAST(sum(n) AS DOUBLE) AS com_row, CAST(sum(n * det_col) AS DOUBLE) / CAST(sum(n) AS DOUBLE) AS com_col FROM pixels GROUP BY ALL),
+cen AS (SELECT dataset_id, {K}, com_row - avg(com_row) OVER d AS com_row, com_col - avg(com_col) OVER d AS com_col FROM com WINDOW d AS (PARTITION BY dataset_id))"""
+
+
+def _two(spark: SparkSession, d: str):
+    scan = embeddings_scan(spark, d)
+    half = scan.frames.withColumn("dataset_id", (F.col("scan_row") % 2).cast("string")).withColumn("scan_row", F.floor(F.col("scan_row") / 2).cast("int"))
+    return scan.with_frames(half, scan_shape=(scan.scan_shape[0] // 2, scan.scan_shape[1]))
+
+
+@query("agg_01_mean_dp_by_dataset", f"{W2} SELECT dataset_id, det_row, det_col, {r6('CAST(sum(n) AS DOUBLE) / count(*)')} AS value FROM pixels GROUP BY ALL")
+def _(spark, d):
+    return reduce.mean_dp(_two(spark, d)).withColumn("value", ROUND("value"))
+
+
+@query("agg_20_screening_sums_by_dataset", f"""{W2} SELECT dataset_id, {K}, CAST(sum(n) AS BIGINT) AS total, CAST(sum(n * det_row) AS BIGINT) AS row_moment, CAST(sum(n * det_col) AS BIGINT) AS col_moment,
+ {", ".join(f"CAST(sum(CASE WHEN sqrt(power(det_row - 3.5, 2) + power(det_col - 3.5, 2)) {b} THEN n ELSE 0 END) AS BIGINT) AS {m}" for m, b in (("bf", "<= 2"), ("abf", "BETWEEN 1 AND 2"), ("adf", "BETWEEN 2 AND 4"), ("df", ">= 2")))} FROM pixels GROUP BY ALL""")
+def _(spark, d):
+    return reduce.screening_sums(_two(spark, d), reduce.Probe(3.5, 3.5, 2.0))
+
+
+@query("dpc_02_centered_by_dataset", f"{COM2} SELECT dataset_id, {K}, {r6('com_row')} AS com_row, {r6('com_col')} AS com_col FROM cen")
+def _(spark, d):
+    return _six(dpc.centered(dpc.center_of_mass(_two(spark, d))), "com_row", "com_col")
+
+
+_DIFF2 = DIFF.replace("SELECT 0.5", "SELECT dataset_id, 0.5", 1).replace("PARTITION BY scan_row", "PARTITION BY dataset_id, scan_row").replace("PARTITION BY scan_col", "PARTITION BY dataset_id, scan_col")
+
+
+@query("dpc_05_rotation_scores_by_dataset", f"""{COM2}{_DIFF2}, m AS (SELECT dataset_id, false AS transposed, avg((c_dr - r_dc) * (c_dr - r_dc)) AS cc, avg((r_dr + c_dc) * (r_dr + c_dc)) AS dd, avg((c_dr - r_dc) * (r_dr + c_dc)) AS cd FROM di GROUP BY dataset_id
+ UNION ALL SELECT dataset_id, true, avg((r_dr - c_dc) * (r_dr - c_dc)), avg((c_dr + r_dc) * (c_dr + r_dc)), avg((r_dr - c_dc) * (c_dr + r_dc)) FROM di GROUP BY dataset_id),
+a AS (SELECT i, i * (pi() / 89) AS t FROM (SELECT unnest(range(90)) AS i)) SELECT dataset_id, CAST(i AS INTEGER) AS angle_index, transposed, {r6('degrees(t)')} AS angle_deg, {r6('cos(t) * cos(t) * cc + sin(t) * sin(t) * dd + 2 * cos(t) * sin(t) * cd', 9)} AS score FROM m, a""")
+def _(spark, d):
+    found = dpc.rotation_scores(dpc.centered(dpc.center_of_mass(_two(spark, d))), 90)
+    return found.select("dataset_id", "angle_index", "transposed", ROUND("angle_deg").alias("angle_deg"), ROUND("score", 9).alias("score"))
+
+
+@query("scr_01_prepare_by_dataset", f"""{COM2}, s AS (SELECT dataset_id, {K}, CAST(sum(n) AS BIGINT) AS total FROM pixels GROUP BY ALL)
+SELECT dataset_id, {K}, total, {r6('com_row')} AS com_row, {r6('com_col')} AS com_col FROM s JOIN cen USING (dataset_id, {K})""")
+def _(spark, d):
+    """A bundle of each dataset: its own probe and mean, the rotation given. Frames are numbered anew inside each."""
+    scan, out = _two(spark, d), None
+    for name in ("0", "1"):
+        own = scan.frames.where(F.col("dataset_id") == name)
+        numbered = own.withColumn("frame_idx", (F.col("scan_row") * SCAN_COLS + F.col("scan_col")).cast("int"))
+        one = screening.prepare(scan.with_frames(numbered), rotation_deg=0.0).products
+        was = ((F.col("scan_row") * 2 + int(name)) * SCAN_COLS + F.col("scan_col")).cast("int")
+        one = one.select(F.lit(name).alias("dataset_id"), was.alias("frame_idx"), "scan_row", "scan_col", "total", "com_row", "com_col")
+        out = one if out is None else out.union(one)
+    return _six(out, "com_row", "com_col")
+
+
 # ---- bundles
 
 @query("scr_01_prepare", _SCREEN + f""", c AS (SELECT *, CAST(row_moment AS DOUBLE) / CAST(total AS DOUBLE) AS cr, CAST(col_moment AS DOUBLE) / CAST(total AS DOUBLE) AS cc FROM s)

@@ -10,6 +10,7 @@ from __future__ import annotations
 import struct
 
 import numpy as np
+import pyarrow as pa
 
 BLOCK = 8192
 
@@ -28,42 +29,12 @@ def unshuffle(data: bytes, n: int, dtype: np.dtype) -> np.ndarray:
 
 
 def lz4_decode(data: bytes, size: int) -> bytes:
-    """One LZ4 block: runs of literals, each followed by a copy from what is there already."""
-    out, at, end = bytearray(), 0, len(data)
-
-    def length(n: int) -> int:
-        nonlocal at
-        if n == 15:
-            while True:
-                more = data[at]
-                at += 1
-                n += more
-                if more != 255:
-                    break
-        return n
-
-    while at < end:
-        token = data[at]
-        at += 1
-        n = length(token >> 4)
-        out += data[at : at + n]
-        at += n
-        if at >= end:
-            break
-        back = data[at] | data[at + 1] << 8
-        at += 2
-        n = length(token & 15) + 4
-        start = len(out) - back
-        if back == 0 or start < 0:
-            raise ValueError("a copy starts before the data")
-        if back >= n:
-            out += out[start : start + n]
-        else:  # the copy overlaps what it makes
-            part = bytes(out[start:])
-            out += (part * (n // back + 1))[:n]
-    if len(out) != size:
-        raise ValueError(f"a block has {len(out)} bytes instead of {size}")
-    return bytes(out)
+    """One LZ4 block of size bytes when unpacked."""
+    try:
+        out = pa.Codec("lz4_raw").decompress(data, size, asbytes=True)
+    except (OSError, ValueError) as wrong:
+        raise ValueError(f"not an LZ4 block of {size} bytes") from wrong
+    return out
 
 
 def lz4_encode(data: bytes) -> bytes:
