@@ -47,7 +47,10 @@ def exact_product(counts: np.ndarray, weights: np.ndarray) -> np.ndarray:
     """Integer matrix product, without rounding or wrapping."""
     most = int(np.abs(weights).sum(0).max(initial=0)) * max(int(counts.max(initial=0)), -int(counts.min(initial=0)))
     if most < 1 << 53:  # doubles hold all the sums
-        return np.rint(counts.astype(np.float64) @ weights.astype(np.float64)).astype(np.int64)
+        by = np.ascontiguousarray(weights, np.float64)
+        step = max(1, (1 << 18) // max(1, counts.shape[1]))  # few frames at a time, so that their doubles stay in the cache
+        parts = [counts[a : a + step].astype(np.float64) @ by for a in range(0, len(counts), step)]
+        return np.rint(np.concatenate(parts)).astype(np.int64) if parts else np.zeros((0, weights.shape[1]), np.int64)
     if most >= 1 << 63:
         raise OverflowError("sums of this scan may not fit 64 bits")
     return counts.astype(np.int64) @ weights
@@ -59,8 +62,9 @@ def frame_products(scan: Scan, weights: dict[str, Column]) -> DataFrame:
     The weights are worked out on the detector and handed to the tasks: as many numbers as it has pixels. Frames without counts are left out."""
     h, w = scan.det_shape
     grid = scan.frames.sparkSession.range(h * w).select(F.floor(F.col("id") / w).cast("int").alias("det_row"), (F.col("id") % w).cast("int").alias("det_col"), "id")
-    rows = grid.select("id", *[F.coalesce(c.cast("long"), F.lit(0)).alias(name) for name, c in weights.items()]).orderBy("id").drop("id").collect()
-    table = np.array(rows, np.int64).reshape(h * w, len(weights))
+    found = grid.select("id", *[F.coalesce(c.cast("long"), F.lit(0)).alias(name) for name, c in weights.items()]).toArrow()
+    order = np.argsort(found.column("id").to_numpy())
+    table = np.stack([found.column(name).to_numpy()[order] for name in weights], 1)
     keys, names = keys_of(scan.frames), list(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
