@@ -184,11 +184,10 @@ def _by_prefix(members: DataFrame, sets: DataFrame, similarity: float) -> DataFr
     often = grams.groupBy("gram").agg(F.count("*").alias("often"))
     order = Window.partitionBy("node").orderBy("often", "gram")
     first = grams.join(often, "gram").withColumn("place", F.row_number().over(order)).where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * similarity - 1e-9) + 1)
-    own = nodes.join(sets.select("node", "n", *_LONGS), "node")
-    first = written(first.select("gram", "node").join(own, "node"), "prefixes")
+    first = written(first.select("gram", "node", "label"), "prefixes")
     tops = first.groupBy("gram", "label").agg(F.count("*").alias("many")).groupBy("gram").agg(F.max(F.struct("many", "label")).alias("top"), F.count("*").alias("labels")).where("labels > 1")
     tops = written(tops.select("gram", F.col("top.label").alias("lead")), "leads")
-    first = written(first.join(tops, "gram"), "postings")
+    first = written(first.join(tops, "gram").join(sets.select("node", "n", *_LONGS), "node"), "postings")
     return _pair(first.where("label <> lead").alias("x").join(first.alias("y"), "gram").where((F.col("x.label") != F.col("y.label")) & _allowed(similarity)))
 
 
