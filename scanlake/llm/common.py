@@ -39,12 +39,12 @@ def scratch_path(spark: SparkSession, tag: str) -> str:
 
 
 def fewer_parts(df: DataFrame) -> DataFrame:
-    """df in a partition for each PART_BYTES of what it reads at most, without a shuffle; four for each core stay in any case.
+    """df in a partition for each PART_BYTES of what it reads at most, without a shuffle; six for each core stay in any case.
 
     Many small files cost each executor more than their rows: Hadoop's local file system starts a process for each."""
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
     read = sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
-    return df.coalesce(min(max(4 * df.sparkSession.sparkContext.defaultParallelism, read // PART_BYTES), (1 << 31) - 1))
+    return df.coalesce(min(max(6 * df.sparkSession.sparkContext.defaultParallelism, read // PART_BYTES), (1 << 31) - 1))
 
 
 def written(df: DataFrame, tag: str) -> DataFrame:
