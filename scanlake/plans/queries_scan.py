@@ -388,7 +388,14 @@ def _(spark, d):
     return _six(dpc.integrate(com), "phase")
 
 
-@query("dpc_09_run")
+_BEST = f"""{DIFF}, m AS (SELECT false AS transposed, avg((c_dr - r_dc) * (c_dr - r_dc)) AS cc, avg((r_dr + c_dc) * (r_dr + c_dc)) AS dd, avg((c_dr - r_dc) * (r_dr + c_dc)) AS cd FROM di
+ UNION ALL SELECT true, avg((r_dr - c_dc) * (r_dr - c_dc)), avg((c_dr + r_dc) * (c_dr + r_dc)), avg((r_dr - c_dc) * (c_dr + r_dc)) FROM di),
+best AS (SELECT t, transposed FROM m, (SELECT i, i * (pi() / 179) AS t FROM (SELECT unnest(range(180)) AS i)) ORDER BY cos(t) * cos(t) * cc + sin(t) * sin(t) * dd + 2 * cos(t) * sin(t) * cd, transposed, i LIMIT 1)"""
+_GRADIENT = """g AS (SELECT scan_row AS "row", scan_col AS col, CASE WHEN transposed THEN sin(t) * com_col + cos(t) * com_row ELSE cos(t) * com_row - sin(t) * com_col END AS a,
+ CASE WHEN transposed THEN cos(t) * com_col - sin(t) * com_row ELSE sin(t) * com_row + cos(t) * com_col END AS b FROM cen, best)"""
+
+
+@query("dpc_09_run", _IDPC.replace(', g AS (SELECT scan_row AS "row", scan_col AS col, com_row AS a, com_col AS b FROM cen)', f"{_BEST}, {_GRADIENT}"))
 def _(spark, d):
     return _six(dpc.run(embeddings_scan(spark, d))[1], "phase")
 

@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from scanlake.plans import catalog, queries_image, queries_more, queries_scan  # noqa: F401
+from scanlake.plans import catalog, queries_image, queries_kept, queries_more, queries_scan  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 
