@@ -16,10 +16,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from scanlake.llm.common import scratch_path
+from scanlake.llm.covering import near_copies
 from scanlake.llm.mixing import mixed_documents
 from scanlake.llm.packing import pack_documents
 from scanlake.llm.quality import kept_documents
-from scanlake.llm.similar import similar_documents
 from scanlake.llm.simhash import one_of_each
 
 
@@ -28,7 +28,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return one_of_each(docs, groups=similar_documents)
+    return one_of_each(docs, groups=near_copies)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

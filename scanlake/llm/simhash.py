@@ -64,9 +64,9 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return arrow_map(asked, _fingerprints, "doc_id long, row_key long, fp long")
 
 
-def covering_masks(radius: int = RADIUS) -> list[int]:
-    """2^(radius+1) - 1 masks of 64 bits; the vectors m(i) take the non-zero values in turn."""
-    vectors = [i % ((1 << radius + 1) - 1) + 1 for i in range(64)]
+def covering_masks(radius: int = RADIUS, bits: int = 64) -> list[int]:
+    """2^(radius+1) - 1 masks of so many bits; the vectors m(i) take the non-zero values in turn."""
+    vectors = [i % ((1 << radius + 1) - 1) + 1 for i in range(bits)]
     return [sum((bin(m & v).count("1") & 1) << i for i, m in enumerate(vectors)) for v in range(1, 1 << radius + 1)]
 
 

@@ -153,10 +153,15 @@ def _allowed(similarity: float) -> Column:
     return apart <= (F.col("x.n") + F.col("y.n")) * ((1 - similarity) / (1 + similarity)) + 1e-6
 
 
-def _near(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+def _plain(sets: DataFrame) -> DataFrame:
+    """Numbers and sketches, without the sets."""
+    return sets.select(*[c for c, kind in sets.dtypes if not kind.startswith("array")])
+
+
+def _near(pairs: DataFrame, sets: DataFrame, allowed: Column) -> DataFrame:
     """The pairs whose sketches allow the similarity."""
-    own = sets.select("node", "n", *_LONGS)
-    return pairs.join(own.alias("x"), F.col("a") == F.col("x.node")).join(own.alias("y"), F.col("b") == F.col("y.node")).where(_allowed(similarity)).select("a", "b")
+    own = _plain(sets)
+    return pairs.join(own.alias("x"), F.col("a") == F.col("x.node")).join(own.alias("y"), F.col("b") == F.col("y.node")).where(allowed).select("a", "b")
 
 
 def _open_members(many: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -177,7 +182,7 @@ def _by_lead(members: DataFrame) -> DataFrame:
     return _pair(members.alias("x").join(tops.alias("y"), "band").where("label <> lead"))
 
 
-def _by_prefix(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+def _by_prefix(members: DataFrame, sets: DataFrame, similarity: float, allowed: Column) -> DataFrame:
     """Candidates among the members, of different labels, that share a shingle of both prefixes and whose sketches allow the similarity."""
     nodes = members.select("node", "label").distinct()
     grams = written(nodes.join(sets.select("node", "n", F.explode("grams").alias("gram")), "node"), "grams")
@@ -187,12 +192,15 @@ def _by_prefix(members: DataFrame, sets: DataFrame, similarity: float) -> DataFr
     first = written(first.select("gram", "node", "label"), "prefixes")
     tops = first.groupBy("gram", "label").agg(F.count("*").alias("many")).groupBy("gram").agg(F.max(F.struct("many", "label")).alias("top"), F.count("*").alias("labels")).where("labels > 1")
     tops = written(tops.select("gram", F.col("top.label").alias("lead")), "leads")
-    first = written(first.join(tops, "gram").join(sets.select("node", "n", *_LONGS), "node"), "postings")
-    return _pair(first.where("label <> lead").alias("x").join(first.alias("y"), "gram").where((F.col("x.label") != F.col("y.label")) & _allowed(similarity)))
+    first = written(first.join(tops, "gram").join(_plain(sets), "node"), "postings")
+    return _pair(first.where("label <> lead").alias("x").join(first.alias("y"), "gram").where((F.col("x.label") != F.col("y.label")) & allowed))
+
 
+def labels_of(rows: DataFrame, sets: DataFrame, similarity: float, small: int = SMALL, *, allowed: Column | None = None) -> DataFrame | None:
+    """rows: band, node, of bands with two nodes or more. Returns node, root as components() does; None without links.
 
-def labels_of(rows: DataFrame, sets: DataFrame, similarity: float, small: int = SMALL) -> DataFrame | None:
-    """rows: band, node, of bands with two nodes or more. Returns node, root as components() does; None without links."""
+    allowed: whether the columns of sets that aren't arrays, of x and y, allow the similarity; by the sketches if not given."""
+    allowed = _allowed(similarity) if allowed is None else allowed
     sizes = written(rows.groupBy("band").agg(F.count("*").alias("members"), F.min("node").alias("low"), F.min(F.struct(F.xxhash64("node").alias("at"), "node")).alias("any")), "sizes")
     few = rows.join(sizes.where(F.col("members") <= small).select("band"), "band")
     many = written(rows.join(sizes.where(F.col("members") > small).select("band"), "band"), "members")
@@ -200,7 +208,7 @@ def labels_of(rows: DataFrame, sets: DataFrame, similarity: float, small: int =
     held = written(sizes.where(F.col("members") > small).select("band", F.explode(F.array_distinct(F.array("low", "any.node"))).alias("node")), "held")
     found = _pair(few.alias("x").join(few.alias("y"), "band").where("x.node < y.node")).union(_pair(many.alias("x").join(held.alias("y"), "band").where("x.node <> y.node"))).distinct()
     tried = edges = labels = None
-    for way in (None, _by_lead, lambda members: _by_prefix(members, sets, similarity)):
+    for way in (None, _by_lead, lambda members: _by_prefix(members, sets, similarity, allowed)):
         if way is not None:
             members = _open_members(many, labels)
             if members.isEmpty():
@@ -208,7 +216,7 @@ def labels_of(rows: DataFrame, sets: DataFrame, similarity: float, small: int =
             found = way(members).join(tried, ["a", "b"], "left_anti")
         found = written(found, "pairs")
         tried = found if tried is None else tried.union(found)
-        fresh = written(alike(written(_near(found, sets, similarity), "near"), sets, similarity), "alike")
+        fresh = written(alike(written(_near(found, sets, allowed), "near"), sets, similarity), "alike")
         if not fresh.isEmpty():
             edges = fresh if edges is None else edges.union(fresh)
             labels = written(components(edges), "labels")
