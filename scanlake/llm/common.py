@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -51,16 +52,41 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     """The rows of df from a Parquet table in the shared folder: lineage ends there, and lost executors lose nothing."""
     spark = df.sparkSession
     fewer_parts(df).write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path := scratch_path(spark, tag))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def removed(*tables: DataFrame) -> None:
+    """Deletes tables as written() gave them. Nothing that is still to run may read them."""
+    for t in tables:
+        _delete(t.sparkSession, t._scratch)
+        _written.remove((t.sparkSession, t._scratch))
+
+
+@contextlib.contextmanager
+def brief_shuffles(spark: SparkSession) -> Iterator[None]:
+    """What is run herein leaves no shuffle files; else they stay until the driver's JVM happens to collect its garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if was is None else spark.conf.set(key, was)
 
 
 @atexit.register
 def _clean() -> None:
     for spark, path in _written:
         try:
-            jvm = spark.sparkContext._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+            _delete(spark, path)
         except Exception:  # noqa: BLE001  the session may be gone; the folder is scratch space
             return
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .common import written
+from .common import removed, written
 
 MAX_ROUNDS = 60
 
@@ -33,7 +33,8 @@ def components(edges: DataFrame) -> DataFrame:
     now = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     was = None
     for _ in range(MAX_ROUNDS):
-        now = written(_small_star(_large_star(now).distinct()).distinct(), "edges")
+        last, now = now, written(_small_star(_large_star(now).distinct()).distinct(), "edges")
+        removed(last)
         # the sum changes with every step that is not the last: labels only fall, edges only merge
         is_ = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if is_ == was:

@@ -29,10 +29,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from . import simhash
-from .common import arrow_map, row_key, signed, written
+from .common import arrow_map, brief_shuffles, removed, row_key, signed, written
 from .similar import _LONGS, _ODD, _allowed, _few, _mixed, MISSED, SHINGLE, SIMILARITY, labels_of, shingle_hashes, sketch, words_of
 
 RADIUS, LEAST, FEW, SLACK = 2, 32, 16, 0.007
@@ -131,18 +131,27 @@ def _least(shingle: int) -> Callable:
     return run
 
 
-def _sets(shingle: int, parts: int, bits: int) -> Callable:
+def _sets(shingle: int) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, text in enumerate(b.column(1).to_pylist()):  # a row at a time: a set is larger than its text
+                h = shingle_hashes(words_of(text), shingle)
+                longs = [*sketch(h), *np.packbits(long_fingerprint(h, PRINT), axis=1).view(np.int64).ravel().tolist()]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, 1), pa.array([len(h)], pa.int64()), pa.array([h.view(np.int64)], pa.list_(pa.int64())), *[pa.array([x], pa.int64()) for x in longs]], names=["node", "n", "grams", *_LONGS, *_PRINTS])
+
+    return run
+
+
+def _bands(parts: int, bits: int) -> Callable:
     masks = simhash.covering_masks(RADIUS, bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by = np.array(masks, np.uint64)
         for b in batches:
-            for i, text in enumerate(b.column(1).to_pylist()):  # a row at a time: a set is larger than its text
-                h = shingle_hashes(words_of(text), shingle)
-                made = long_fingerprint(h, max(PRINT, -(-parts * bits // 64)))
-                lists = [pa.array([x], pa.list_(pa.int64())) for x in (h.view(np.int64), buckets(h, made, parts, bits, by))]
-                longs = [*sketch(h), *np.packbits(made[:PRINT], axis=1).view(np.int64).ravel().tolist()]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, 1), pa.array([len(h)], pa.int64()), *lists, *[pa.array([x], pa.int64()) for x in longs]], names=["node", "n", "grams", "buckets", *_LONGS, *_PRINTS])
+            for i in range(b.num_rows):
+                h = b.column(1)[i].values.to_numpy(zero_copy_only=False).view(np.uint64)
+                found = buckets(h, long_fingerprint(h, -(-parts * bits // 64)), parts, bits, by)
+                yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(np.full(len(found), b.column(0)[i].as_py()), pa.int64())], names=["band", "node"])
 
     return run
 
@@ -151,22 +160,34 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """A row for each row of docs: doc_id, row_key (of the text), root (the component of all pairs of the similarity)."""
     if shingle < 1 or not 0 < similarity <= 1:
         raise ValueError("shingle must be 1 or more, similarity above 0 and at most 1")
+    with brief_shuffles(docs.sparkSession):
+        rows, labels = _grouped(docs, id_col, text_col, shingle, similarity)
+    if labels is None:
+        return rows.select("doc_id", "row_key", F.col("node").alias("root"))
+    labels = labels.withColumnRenamed("node", "_node")
+    return rows.join(labels, F.col("node") == F.col("_node"), "left").select("doc_id", "row_key", F.coalesce("root", "node").alias("root"))
+
+
+def _grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float) -> tuple[DataFrame, DataFrame | None]:
+    """doc_id, row_key, node of each row, and the labels of nodes."""
     text = F.col(text_col).cast("string").alias("text")
     asked = docs.select(F.col(id_col).cast("long").alias("doc_id"), row_key(text_col).alias("row_key"), text)
     made = written(arrow_map(asked, _least(shingle), "doc_id long, row_key long, node long, n long, least array<long>"), "least")
-    own = made.where("n > 0").groupBy("node").agg(F.min("row_key").alias("row_key"), F.first("n").alias("n"), F.first("least").alias("least"))
-    rows = written(own, "nodes").select("node", "n", "row_key", F.explode("least").alias("gram"))
-    shared = rows.groupBy("gram").count().where("count > 1").select("gram")
+    nodes = written(made.where("n > 0").groupBy("node").agg(F.min("row_key").alias("row_key"), F.first("n").alias("n"), F.first("least").alias("least")), "nodes")
+    rows = written(made.select("doc_id", "row_key", "node"), "rows")
+    removed(made)
+    grams = nodes.select("node", F.explode("least").alias("gram"))
+    shared = grams.groupBy("gram").count().where("count > 1").select("gram")
     enough = F.least(F.lit(n_shared(similarity)), F.ceil(F.col("n") * similarity - 1e-9))
-    keys = written(rows.join(shared, "gram").groupBy("row_key", "node", "n").count().where(F.col("count") >= enough).select("row_key", "node"), "keys")
+    found = grams.join(shared, "gram").groupBy("node").count()
+    keys = written(found.join(nodes.select("node", "n", "row_key"), "node").where(F.col("count") >= enough).select("row_key", "node"), "keys")
+    removed(nodes)
     bits = part_bits(keys.count())
     keyed = docs.select(row_key(text_col).alias("_key"), text)
     texts = keyed.join(_few(keys), F.col("_key") == F.col("row_key")).groupBy("node").agg(F.first("text").alias("text"))
-    schema = f"node long, n long, grams array<long>, buckets array<long>, {', '.join(f'{s} long' for s in (*_LONGS, *_PRINTS))}"
-    sets = written(arrow_map(texts, _sets(shingle, n_parts(similarity, bits), bits), schema), "sets")
-    met = sets.select("node", F.explode("buckets").alias("band")).withColumn("members", F.count("*").over(Window.partitionBy("band"))).where("members > 1")
-    labels = labels_of(written(met.select("band", "node"), "bands"), sets, similarity, allowed=allowed(similarity))
-    if labels is None:
-        return made.select("doc_id", "row_key", F.col("node").alias("root"))
-    labels = labels.withColumnRenamed("node", "_node")
-    return made.join(labels, F.col("node") == F.col("_node"), "left").select("doc_id", "row_key", F.coalesce("root", "node").alias("root"))
+    sets = written(arrow_map(texts, _sets(shingle), f"node long, n long, grams array<long>, {', '.join(f'{s} long' for s in (*_LONGS, *_PRINTS))}"), "sets")
+    # buckets aren't written: they take more room than the sets
+    met = arrow_map(sets.select("node", "grams"), _bands(n_parts(similarity, bits), bits), "band long, node long")
+    labels = labels_of(met, sets, similarity, allowed=allowed(similarity))
+    removed(sets)
+    return rows, labels

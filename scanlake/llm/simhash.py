@@ -24,7 +24,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import arrow_map, fewer_parts, row_key, signed, written
+from .common import arrow_map, fewer_parts, removed, row_key, signed, written
 from .components import components
 
 #: RADIUS is fixed: shared one-bit neighbours mean a distance of two at most.
@@ -107,6 +107,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     best = written(found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key")).alias("best")), "best")
     rows = found.join(best, "root").select(F.col("doc_id").alias("_bad_id"), F.col("row_key").alias("_bad_key"), (F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("row_key") == F.col("best.row_key"))).alias("stays"))
     rows = written(rows.groupBy("_bad_id", "_bad_key", "stays").count(), "verdicts")
+    removed(found, best)
     gone, repeated = rows.where("not stays").drop("stays", "count"), rows.where("stays and count > 1")
     if gone.count() <= BROADCAST_ROWS:
         gone = F.broadcast(gone)

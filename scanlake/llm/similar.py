@@ -34,7 +34,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import arrow_map, row_key, signed, written
+from .common import arrow_map, removed, row_key, signed, written
 from .components import components
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -137,14 +137,15 @@ def _few(keys: DataFrame) -> DataFrame:
 def alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The pairs a, b whose sets have the similarity."""
     both = F.size(F.array_intersect("x.grams", "y.grams"))
-    sets = sets.select("node", "grams")
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    sets = sets.select("node", "grams").join(_few(nodes), "node", "left_semi")  # else a few pairs would move all sets
     found = pairs.join(sets.alias("x"), F.col("a") == F.col("x.node")).join(sets.alias("y"), F.col("b") == F.col("y.node"))
     return found.where(both / (F.size("x.grams") + F.size("y.grams") - both) >= similarity).select("a", "b")
 
 
-def _pair(on: DataFrame) -> DataFrame:
+def _pair(on: DataFrame, x: str = "x.node", y: str = "y.node") -> DataFrame:
     """a, b of the joined sides x and y."""
-    return on.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+    return on.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
 
 
 def _allowed(similarity: float) -> Column:
@@ -185,28 +186,61 @@ def _by_lead(members: DataFrame) -> DataFrame:
 def _by_prefix(members: DataFrame, sets: DataFrame, similarity: float, allowed: Column) -> DataFrame:
     """Candidates among the members, of different labels, that share a shingle of both prefixes and whose sketches allow the similarity."""
     nodes = members.select("node", "label").distinct()
-    grams = written(nodes.join(sets.select("node", "n", F.explode("grams").alias("gram")), "node"), "grams")
+    asked = sets.select("node", "n", "grams").join(_few(nodes), "node")
+    grams = written(asked.select("node", "label", "n", F.explode("grams").alias("gram")), "grams")
     often = grams.groupBy("gram").agg(F.count("*").alias("often"))
     order = Window.partitionBy("node").orderBy("often", "gram")
     first = grams.join(often, "gram").withColumn("place", F.row_number().over(order)).where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * similarity - 1e-9) + 1)
     first = written(first.select("gram", "node", "label"), "prefixes")
+    removed(grams)
     tops = first.groupBy("gram", "label").agg(F.count("*").alias("many")).groupBy("gram").agg(F.max(F.struct("many", "label")).alias("top"), F.count("*").alias("labels")).where("labels > 1")
     tops = written(tops.select("gram", F.col("top.label").alias("lead")), "leads")
     first = written(first.join(tops, "gram").join(_plain(sets), "node"), "postings")
     return _pair(first.where("label <> lead").alias("x").join(first.alias("y"), "gram").where((F.col("x.label") != F.col("y.label")) & allowed))
 
 
+def _banded(rows: DataFrame, small: int) -> DataFrame:
+    """band, node, large, others, of bands with two nodes or more: the other nodes to hold a node against, in small bands those that follow it."""
+    each = Window.partitionBy("band").orderBy("node")
+    whole = each.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = rows.select("band", "node", F.count("*").over(whole).alias("members"), F.min("node").over(whole).alias("low"), F.min(F.struct(F.xxhash64("node").alias("at"), "node")).over(whole).alias("any"))
+    rows = rows.where("members > 1").withColumn("after", F.collect_list("node").over(each.rowsBetween(1, small - 1)))
+    large = F.col("members") > small
+    return rows.select("band", "node", large.alias("large"), F.when(large, F.array("low", "any.node")).otherwise(F.col("after")).alias("others"))
+
+
+def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The pairs whose members have different labels."""
+    for k in "ab":
+        pairs = pairs.join(labels.select(F.col("node").alias(k), F.col("root").alias(f"of_{k}")), k, "left")
+    return pairs.where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b")
+
+
+def _linked(near: DataFrame, sets: DataFrame, similarity: float, edges: DataFrame | None, labels: DataFrame | None) -> tuple[DataFrame | None, DataFrame | None]:
+    """Edges and labels with the pairs of near that are alike, but for those whose members other pairs have joined.
+
+    Each node is held against the least one that it is near to; then pairs follow whose members are still apart."""
+    first = written(near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "firsts")
+    for pairs in (first, None):
+        if pairs is None:
+            pairs = near.join(first, ["a", "b"], "left_anti")
+            pairs = written(pairs if labels is None else _apart(pairs, labels), "rest")
+        fresh = written(alike(pairs, sets, similarity), "alike")
+        if not fresh.isEmpty():
+            edges = fresh if edges is None else edges.union(fresh)
+            labels = written(components(edges), "labels")
+    return edges, labels
+
+
 def labels_of(rows: DataFrame, sets: DataFrame, similarity: float, small: int = SMALL, *, allowed: Column | None = None) -> DataFrame | None:
-    """rows: band, node, of bands with two nodes or more. Returns node, root as components() does; None without links.
+    """rows: band, node. Returns node, root as components() does; None without links.
 
     allowed: whether the columns of sets that aren't arrays, of x and y, allow the similarity; by the sketches if not given."""
     allowed = _allowed(similarity) if allowed is None else allowed
-    sizes = written(rows.groupBy("band").agg(F.count("*").alias("members"), F.min("node").alias("low"), F.min(F.struct(F.xxhash64("node").alias("at"), "node")).alias("any")), "sizes")
-    few = rows.join(sizes.where(F.col("members") <= small).select("band"), "band")
-    many = written(rows.join(sizes.where(F.col("members") > small).select("band"), "band"), "members")
+    bands = written(_banded(rows, small), "bands")
     # a table of its own, so that a large band's members are dealt by a plain exchange, which Spark can split
-    held = written(sizes.where(F.col("members") > small).select("band", F.explode(F.array_distinct(F.array("low", "any.node"))).alias("node")), "held")
-    found = _pair(few.alias("x").join(few.alias("y"), "band").where("x.node < y.node")).union(_pair(many.alias("x").join(held.alias("y"), "band").where("x.node <> y.node"))).distinct()
+    many = written(bands.where("large").select("band", "node"), "members")
+    found = _pair(bands.select("node", F.explode("others").alias("other")).where("node <> other"), "node", "other")
     tried = edges = labels = None
     for way in (None, _by_lead, lambda members: _by_prefix(members, sets, similarity, allowed)):
         if way is not None:
@@ -215,11 +249,12 @@ def labels_of(rows: DataFrame, sets: DataFrame, similarity: float, small: int =
                 break
             found = way(members).join(tried, ["a", "b"], "left_anti")
         found = written(found, "pairs")
+        if way is None:
+            removed(bands)
         tried = found if tried is None else tried.union(found)
-        fresh = written(alike(written(_near(found, sets, allowed), "near"), sets, similarity), "alike")
-        if not fresh.isEmpty():
-            edges = fresh if edges is None else edges.union(fresh)
-            labels = written(components(edges), "labels")
+        near = written(_near(found, sets, allowed), "near")
+        if not near.isEmpty():
+            edges, labels = _linked(near, sets, similarity, edges, labels)
     return labels
 
 

@@ -1,13 +1,14 @@
 """The pipeline's near-duplicates by SimHash covering: fingerprints and buckets against brute force, and the probabilities."""
 
 import math
+import os
 import random
 
 import numpy as np
 import pytest
 
 import corpus_pipeline
-from scanlake.llm import covering, simhash, similar
+from scanlake.llm import common, covering, simhash, similar
 
 from .test_similar import DOCS, SF, alike_below, grouped, planted, roots, wanted
 
@@ -93,3 +94,21 @@ def test_the_stage_goes_by_fingerprints(spark, monkeypatch):
     monkeypatch.setattr(covering, "part_bits", lambda texts: 64)
     left = {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, SF).collect()}
     assert len(set(roots(rows).values())) + 20 < len(left) and not any(i >= 5000 for i in left)
+
+
+def test_tables_go_when_they_have_been_read(spark):
+    top = common.shared_dir(spark).removeprefix("file://") + "/scanlake"
+    rows, key = planted() + alike_below(), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    docs, was, set_to = spark.createDataFrame([(i, t, "s") for i, t in rows], DOCS), set(os.listdir(top) if os.path.isdir(top) else ()), spark.conf.get(key, None)
+    found = covering.near_copies(docs)
+    left = {name.split("-")[0] for name in set(os.listdir(top)) - was}
+    assert "rows" in left and not left & {"least", "nodes", "sets", "bands", "grams"}
+    assert spark.conf.get(key, None) == set_to and grouped(found.collect()) == wanted(rows)
+
+
+def test_a_few_pairs_move_few_sets(spark):
+    docs = spark.createDataFrame([(i, f"a{i} b c d e f", "s") for i in range(50)], DOCS)
+    sets = docs.selectExpr("doc_id as node", "array(1L, 2L) as grams")
+    plan = similar.alike(spark.createDataFrame([(1, 2)], "a long, b long"), sets, 0.8)
+    assert [tuple(r) for r in plan.collect()] == [(1, 2)]
+    assert "LeftSemi" in plan._jdf.queryExecution().optimizedPlan().toString()
