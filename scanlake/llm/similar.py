@@ -166,13 +166,13 @@ def _near(pairs: DataFrame, sets: DataFrame, allowed: Column) -> DataFrame:
 
 
 def _open_members(many: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """band, node, label of the bands whose members have different labels."""
-    now = many.withColumn("label", F.col("node"))
+    """band, node, label of the bands whose members have different labels. A label is looked up once for each node."""
+    now = many.groupBy("node").agg(F.collect_list("band").alias("bands")).withColumn("label", F.col("node"))
     if labels is not None:
-        now = many.join(labels.select(F.col("node").alias("_node"), "root"), F.col("node") == F.col("_node"), "left").select("band", "node", F.coalesce("root", "node").alias("label"))
-    now = written(now, "labelled")
-    split = written(now.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("band"), "split")
-    return written(now.join(split, "band"), "open")
+        now = now.drop("label").join(labels.select(F.col("node").alias("_node"), F.col("root").alias("label")), F.col("node") == F.col("_node"), "left").select("node", "bands", F.coalesce("label", "node").alias("label"))
+    each = Window.partitionBy("band")
+    now = now.select("node", "label", F.explode("bands").alias("band")).select("band", "node", "label", F.min("label").over(each).alias("low"), F.max("label").over(each).alias("high"))
+    return written(now.where("low <> high").select("band", "node", "label"), "open")
 
 
 def _by_lead(members: DataFrame) -> DataFrame:
