@@ -93,9 +93,10 @@ def poisson_phase(row: np.ndarray, col: np.ndarray) -> np.ndarray:
     return -(phase - phase.mean())
 
 
-def integrate(gradient: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """scan_row, scan_col, com_row, com_col to phase. One image (of a dataset, with keys) is one task's array."""
-    return fourier.per_image(gradient, keys or [], ["scan_row", "scan_col"], ["com_row", "com_col"], {"phase": "double"}, lambda r, c: {"phase": poisson_phase(r, c)})
+def integrate(gradient: DataFrame, keys: list[str] | None = None, shape: tuple[int, int] | None = None) -> DataFrame:
+    """scan_row, scan_col, com_row, com_col to phase. One image (of a dataset, with keys) is one task's array. shape: that of the
+    phase (else the gradient's own); rows beyond it still count, see fourier.to_array."""
+    return fourier.per_image(gradient, keys or [], ["scan_row", "scan_col"], ["com_row", "com_col"], {"phase": "double"}, lambda r, c: {"phase": poisson_phase(r, c)}, shape)
 
 
 def run(source: Scan | DataFrame, rotation_deg: float | None = None, steps: int = 180, mask: Column | None = None) -> tuple[DataFrame, DataFrame, float, bool]:

@@ -48,7 +48,7 @@ def prepare(scan: Scan, rotation_steps: int = 90, rotation_deg: float | None = N
     angle, transposed = dpc.find_rotation(com, rotation_steps) if rotation_deg is None else (rotation_deg, False)
     turned = dpc.rotated(com, angle, transposed)
     gradient = turned if not transposed else turned.select(*keys_of(turned), F.col("com_col").alias("com_row"), F.col("com_row").alias("com_col"))
-    return Screening(mean, products.drop("com_row", "com_col").join(turned, keys_of(products)), dpc.integrate(gradient), probe, angle, transposed)
+    return Screening(mean, products.drop("com_row", "com_col").join(turned, keys_of(products)), dpc.integrate(gradient, shape=scan.scan_shape), probe, angle, transposed)
 
 
 def save(result: Screening, path: str, identity: str) -> None:

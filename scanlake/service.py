@@ -101,20 +101,20 @@ class Service:
         at = ("scan_row", "scan_col")
         if mode in ("COMX", "COMY", "COMMAG", "DPC"):
             column = {"COMX": "com_x", "COMY": "com_y", "COMMAG": "com_mag", "DPC": "dpc"}[mode]
-            return _image(dpc.service_modes(dpc.center_of_mass(scan)), *at, column, scan.scan_shape)
+            return _image(dpc.service_modes(dpc.center_of_mass(scan)), *at, column, scan.grid)
         if mode == "ICOM":
-            return _image(dpc.integrate(dpc.center_of_mass(scan).select(*at, "com_row", "com_col")), *at, "phase", scan.scan_shape)
+            return _image(dpc.integrate(dpc.center_of_mass(scan).select(*at, "com_row", "com_col"), shape=scan.scan_shape), *at, "phase", scan.scan_shape)
         if mode not in MODES:
             raise ValueError(f"unknown mode {mode!r}")
         probe = reduce.fitted_probe(scan)
         bands = {"BF": (0.0, 1.0), "ABF": (0.5, 1.0), "ADF": (inner, outer), "HAADF": (2.0, 4.0), "DF": (1.0, math.inf)}
-        return _image(reduce.service_image(scan, probe, mode, *bands[mode]), *at, "value", scan.scan_shape)
+        return _image(reduce.service_image(scan, probe, mode, *bands[mode]), *at, "value", scan.grid)
 
     def realspace_shape(self, name: str, kind: str, row: float, col: float, radius: float, inner: float = 0.0) -> list[list[float]]:
         """What a detector of a given shape sees."""
         scan = self.scan(name)
         mask = select.roi(F.col("det_row"), F.col("det_col"), kind, (row, col), radius, inner)
-        return _image(reduce.virtual_images(scan, {"value": mask}), "scan_row", "scan_col", "value", scan.scan_shape)
+        return _image(reduce.virtual_images(scan, {"value": mask}), "scan_row", "scan_col", "value", scan.grid)
 
     # ---- jobs
 

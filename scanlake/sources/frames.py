@@ -19,7 +19,7 @@ from ..plans.model import Scan, square_shape
 #: Frames in one file at most, as the acquisition software writes them.
 FRAMES_PER_FILE = 32768
 DTYPES = {"u8": 255, "u16": 65535, "u32": (1 << 32) - 1, "u4": 15}
-_META = "scan_rows int, scan_cols int, det_rows int, det_cols int, dtype string, semiangle_mrad double, voltage_kV double, scan_step_A double, extra string"
+_META = "scan_rows int, scan_cols int, det_rows int, det_cols int, dtype string, semiangle_mrad double, voltage_kV double, scan_step_A double, extra string, tail int"
 
 
 def save(scan: Scan, path: str, dtype: str = "u16", extra: dict | None = None, mode: str = "errorifexists", codec: str = "zstd") -> None:
@@ -29,14 +29,14 @@ def save(scan: Scan, path: str, dtype: str = "u16", extra: dict | None = None, m
     top = DTYPES[dtype]
     frames = scan.frames.withColumn("counts", F.transform("counts", lambda c: F.least(F.greatest(c, F.lit(0)), F.lit(top)).cast("long" if dtype == "u32" else "int")))
     frames.repartitionByRange("dataset_id", "frame_idx").sortWithinPartitions("dataset_id", "frame_idx").write.mode(mode).option("maxRecordsPerFile", FRAMES_PER_FILE).option("compression", codec).parquet(f"{path}/frames")
-    meta = [(*scan.scan_shape, *scan.det_shape, dtype, scan.semiangle_mrad, scan.voltage_kV, scan.scan_step_A, json.dumps(extra or {}))]
+    meta = [(*scan.scan_shape, *scan.det_shape, dtype, scan.semiangle_mrad, scan.voltage_kV, scan.scan_step_A, json.dumps(extra or {}), scan.tail)]
     scan.frames.sparkSession.createDataFrame(meta, _META).coalesce(1).write.mode(mode).parquet(f"{path}/meta")
 
 
 def metadata(spark: SparkSession, path: str) -> dict:
     """The scan's row of metadata, with what follows from it."""
     m = spark.read.schema(_META).parquet(f"{path}/meta").first().asDict()
-    m |= json.loads(m.pop("extra") or "{}")
+    m |= json.loads(m.pop("extra") or "{}") | {"tail": m["tail"] or 0}
     step = m["scan_step_A"]
     return m | {"frames": m["scan_rows"] * m["scan_cols"], "field_of_view_A": None if step is None else (m["scan_rows"] * step, m["scan_cols"] * step)}
 
@@ -61,7 +61,7 @@ def load(
         raise ValueError("a detector region needs a scan region")
     m = metadata(spark, path)
     frames = spark.read.parquet(f"{path}/frames")
-    scan = Scan(frames, (m["scan_rows"], m["scan_cols"]), (m["det_rows"], m["det_cols"]), m["semiangle_mrad"], m["voltage_kV"], m["scan_step_A"])
+    scan = Scan(frames, (m["scan_rows"], m["scan_cols"]), (m["det_rows"], m["det_cols"]), m["semiangle_mrad"], m["voltage_kV"], m["scan_step_A"], m["tail"])
     if scan_region is not None:
         scan = select.scan_crop(scan, scan_region)
     if detector_region is not None:
@@ -71,7 +71,7 @@ def load(
     if scan_indices is not None:
         request = select.requested(spark, scan_indices, scan.scan_shape)
         found = select.sparse_frames(scan.frames, request)
-        scan = scan.with_frames(found.withColumn("frame_idx", F.col("req_pos")).drop("req_pos"), scan_shape=(len(scan_indices), 1))
+        scan = scan.with_frames(found.withColumn("frame_idx", F.col("req_pos")).drop("req_pos"), scan_shape=(len(scan_indices), 1), tail=0)
     if bad is not None or det_bin > 1:
         pixels = scan.pixels() if bad is None else select.zero_bad_pixels(scan.pixels(), bad)
         shape = dict(zip(("det_row", "det_col"), scan.det_shape, strict=True))
@@ -162,8 +162,9 @@ def inspect(spark: SparkSession, path: str) -> dict:
     before = signature(spark, path)
     m = metadata(spark, path)
     n = spark.read.parquet(f"{path}/frames").count()  # from the file footers
-    ready = n == m["frames"] and signature(spark, path) == before
-    return m | {"found": n, "ready": ready, "reason": None if ready else "incomplete" if n < m["frames"] else "too many frames" if n > m["frames"] else "changing", "signature": before}
+    expected = m["frames"] + m["tail"]
+    ready = n == expected and signature(spark, path) == before
+    return m | {"found": n, "ready": ready, "reason": None if ready else "incomplete" if n < expected else "too many frames" if n > expected else "changing", "signature": before}
 
 
 def is_ready(spark: SparkSession, path: str) -> bool:
