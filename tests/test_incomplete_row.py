@@ -8,7 +8,7 @@ from scanlake.plans import catalog, queries_image, queries_kept, queries_more, q
 SF = "/root/testdata/sf0.001"
 #: An even and an odd number of complete rows of 25.
 SIZES = (506, 534)
-AS_SQL = ["scr_01_prepare", "io_26_screening_saved", "scr_01_prepare_by_dataset"]
+AS_SQL = ["scr_01_prepare", "io_26_screening_saved", "scr_01_prepare_by_dataset", "scr_06_cache_validity"]
 
 
 @pytest.fixture(scope="module", params=SIZES)
