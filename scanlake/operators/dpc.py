@@ -106,7 +106,7 @@ def run(source: Scan | DataFrame, rotation_deg: float | None = None, steps: int
     angle, transposed = find_rotation(com, steps) if rotation_deg is None else (rotation_deg, False)
     turned = rotated(com, angle, transposed)
     gradient = turned.select("scan_row", "scan_col", *([F.col("com_col").alias("com_row"), F.col("com_row").alias("com_col")] if transposed else ["com_row", "com_col"]))
-    return turned, integrate(gradient), angle, transposed
+    return turned, integrate(gradient, shape=source.scan_shape if isinstance(source, Scan) else None), angle, transposed
 
 
 def service_modes(com: DataFrame) -> DataFrame:
