@@ -8,11 +8,13 @@ from __future__ import annotations
 
 import math
 import os
+import uuid
 from collections.abc import Iterator, Sequence
+from dataclasses import replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..plans.model import Scan
@@ -78,8 +80,8 @@ def read_mask(spark: SparkSession, master: str) -> DataFrame:
     return pixel_mask(spark, [])
 
 
-def inspect(master: str, scan_shape: tuple[int, int] | None = None) -> dict:
-    """Readiness from headers alone: frames found and expected, and a reason if it isn't ready."""
+def inspect(master: str, scan_shape: tuple[int, int] | None = None, tail: int = 0) -> dict:
+    """Readiness from headers alone: frames found and expected (tail: so many in a row after scan_shape), and a reason if it isn't ready."""
     try:
         before = [(p, os.stat(p).st_size, os.stat(p).st_mtime_ns) for p, _ in shards(master)]
         heads = []
@@ -91,7 +93,7 @@ def inspect(master: str, scan_shape: tuple[int, int] | None = None) -> dict:
     except (OSError, ValueError, KeyError) as wrong:
         return {"ready": False, "reason": str(wrong), "found": 0, "expected": None}
     found = sum(s[0] for s, _ in heads)
-    expected = scan_shape[0] * scan_shape[1] if scan_shape else meta["n_frames"]
+    expected = scan_shape[0] * scan_shape[1] + tail if scan_shape else meta["n_frames"]
     after = [(p, os.stat(p).st_size, os.stat(p).st_mtime_ns) for p, _ in shards(master)]
     reason = (
         "shards differ in shape or type" if len({(s[1:], t) for s, t in heads}) > 1
@@ -176,28 +178,67 @@ class MasterSource(DataSource):
         return MasterReader({k.lower(): v for k, v in self.options.items()})
 
 
-def load(spark: SparkSession, master: str, scan_shape: tuple[int, int] | None = None, order: str = "row-major") -> Scan:
+def load(spark: SparkSession, master: str, scan_shape: tuple[int, int] | None = None, order: str = "row-major", tail: int = 0) -> Scan:
+    """tail: frames of a last row that is incomplete, as in Scan; it goes with a scan_shape."""
     spark.dataSource.register(MasterSource)
-    state = inspect(master, scan_shape)
+    state = inspect(master, scan_shape, tail)
     if not state["ready"]:
         raise ValueError(f"{master} is not ready: {state['reason']}")
     frames = spark.read.format("scan_hdf5").load(master)
     shape = scan_shape or state["metadata"]["scan_shape"] or (state["found"], 1)
-    return scan_of(frames, tuple(state["det_shape"]), shape, order)
+    return replace(scan_of(frames, tuple(state["det_shape"]), shape, order), tail=tail if scan_shape else 0)
 
 
 def save(path: str, frames: Sequence[np.ndarray] | np.ndarray, mask: np.ndarray | None = None, frame_time: float | None = None, per_shard: int = SHARD_FRAMES) -> str:
     """Writes a master and its shards beside it (path without ending); for frames that are at hand, as from acquisition."""
     frames = np.asarray(frames)
-    master = Writer(f"{path}_master.h5")
     for k, a in enumerate(range(0, len(frames), per_shard), 1):
-        name = f"{os.path.basename(path)}_data_{k:06d}.h5"
-        shard = Writer(os.path.join(os.path.dirname(path), name))
-        shard.add("entry/data/data", frames[a : a + per_shard], packed=True)
-        shard.close()
-        master.link(f"entry/data/data_{k:06d}", name, "entry/data/data")
+        _save_shard(path, k, frames[a : a + per_shard])
+    return _save_master(path, frames.shape, mask, frame_time, per_shard)
+
+
+def save_scan(path: str, scan: Scan, mask: np.ndarray | None = None, frame_time: float | None = None, per_shard: int = SHARD_FRAMES) -> str:
+    """The same from a table of frames (16 bits a count) that are numbered from 0: each shard is written by a task, in a folder that all
+    machines see; the driver gets a row for each shard."""
+    det_shape = scan.det_shape
+
+    def run(shard: pa.Table) -> pa.Table:
+        k, order = shard.column("shard")[0].as_py(), np.argsort(shard.column("frame_idx").to_numpy())
+        at, counts = shard.column("frame_idx").to_numpy()[order], shard.column("counts").combine_chunks()
+        if (at != np.arange(len(at)) + k * per_shard).any():
+            raise ValueError(f"frames of shard {k + 1} are not numbered one by one")
+        flat = counts.flatten().to_numpy(zero_copy_only=False)
+        if flat.size != len(at) * math.prod(det_shape) or (flat.size and not 0 <= flat.min() <= flat.max() < 1 << 16):
+            raise ValueError(f"frames of shard {k + 1} don't have {det_shape} counts of 16 bits")
+        _save_shard(path, k + 1, flat.reshape(-1, *det_shape)[order].astype(np.uint16))
+        return pa.table({"shard": [k], "n": [len(at)]})
+
+    rows = scan.frames.select(F.floor(F.col("frame_idx") / per_shard).alias("shard"), "frame_idx", "counts")
+    found = sorted(map(tuple, rows.groupBy("shard").applyInArrow(run, "shard long, n long").collect()))
+    if any(k != i or (n != per_shard and i + 1 < len(found)) for i, (k, n) in enumerate(found)):
+        raise ValueError("frames are not numbered one by one")
+    return _save_master(path, (sum(n for _, n in found), *det_shape), mask, frame_time, per_shard)
+
+
+def _shard_name(path: str, k: int) -> str:
+    return f"{os.path.basename(path)}_data_{k:06d}.h5"
+
+
+def _save_shard(path: str, k: int, frames: np.ndarray) -> None:
+    """Under its name once it is whole, as a task may run twice."""
+    at = os.path.join(os.path.dirname(path), _shard_name(path, k))
+    shard = Writer(f"{at}.{uuid.uuid4().hex}")
+    shard.add("entry/data/data", frames, packed=True)
+    shard.close()
+    os.replace(shard.path, at)
+
+
+def _save_master(path: str, shape: tuple[int, ...], mask: np.ndarray | None, frame_time: float | None, per_shard: int) -> str:
+    master = Writer(f"{path}_master.h5")
+    for k in range(1, math.ceil(shape[0] / per_shard) + 1):
+        master.link(f"entry/data/data_{k:06d}", _shard_name(path, k), "entry/data/data")
     specific = f"{DETECTOR}/detectorSpecific"
-    for name, v in (("ntrigger", len(frames)), ("y_pixels_in_detector", frames.shape[1]), ("x_pixels_in_detector", frames.shape[2])):
+    for name, v in (("ntrigger", shape[0]), ("y_pixels_in_detector", shape[1]), ("x_pixels_in_detector", shape[2])):
         master.add(f"{specific}/{name}", np.array(v, np.int64))
     if frame_time is not None:
         master.add(f"{DETECTOR}/frame_time", np.array(frame_time, np.float64))
