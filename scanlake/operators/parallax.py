@@ -46,7 +46,8 @@ def correlation_shift(reference: np.ndarray, image: np.ndarray, upsample: int =
 
 
 def _image(pdf: pd.DataFrame, value: str, shape: tuple[int, int]) -> np.ndarray:
-    out = np.zeros(shape)
+    """Positions that were not scanned (as after the end of an incomplete row) have the mean of the others, and so no contrast."""
+    out = np.full(shape, pdf[value].mean())
     out[pdf[AXES[0]].to_numpy(), pdf[AXES[1]].to_numpy()] = pdf[value].to_numpy()
     return out
 
@@ -139,20 +140,23 @@ def _ramp(shape: tuple[int, int], row: float, col: float) -> np.ndarray:
 
 def shift_and_sum(images: DataFrame, shifts: DataFrame, shape: tuple[int, int], upsampling: int = 1) -> DataFrame:
     """The images moved by their shifts and added, as row, col, value, density; with upsampling the spectrum is tiled.
-    Each image becomes its shifted spectrum in its own task; spectra are added by frequency."""
+    Each image becomes its shifted spectrum in its own task; spectra are added by frequency. Only positions that were scanned come back."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         f = np.fft.fft2(_image(pdf, "value", shape)) * _ramp(shape, pdf["shift_row"].iloc[0], pdf["shift_col"].iloc[0])
-        return fourier.to_rows({"re": f.real, "im": f.imag}, ["row", "col"])
+        scanned = np.zeros(shape, np.int32)
+        scanned[pdf[AXES[0]].to_numpy(), pdf[AXES[1]].to_numpy()] = 1
+        return fourier.to_rows({"re": f.real, "im": f.imag, "scanned": scanned}, ["row", "col"])
 
-    spectra = images.join(F.broadcast(shifts), "bf_idx").groupBy("bf_idx").applyInPandas(run, "row int, col int, re double, im double")
-    total = spectra.groupBy("row", "col").agg(F.sum("re").alias("re"), F.sum("im").alias("im"), F.count("*").alias("n"))
+    spectra = images.join(F.broadcast(shifts), "bf_idx").groupBy("bf_idx").applyInPandas(run, "row int, col int, re double, im double, scanned int")
+    total = spectra.groupBy("row", "col").agg(F.sum("re").alias("re"), F.sum("im").alias("im"), F.count("*").alias("n"), F.max("scanned").alias("scanned"))
 
-    def back(re: np.ndarray, im: np.ndarray, n: np.ndarray) -> dict[str, np.ndarray]:
+    def back(re: np.ndarray, im: np.ndarray, n: np.ndarray, scanned: np.ndarray) -> dict[str, np.ndarray]:
         out = np.fft.ifft2(np.tile(re + 1j * im, (upsampling, upsampling))).real
-        return {"value": out, "density": np.full(out.shape, n[0, 0])}
+        return {"value": out, "density": np.full(out.shape, n[0, 0]), "scanned": np.kron(scanned, np.ones((upsampling, upsampling)))}
 
-    return fourier.per_image(total, [], ["row", "col"], ["re", "im", "n"], {"value": "double", "density": "double"}, back)
+    summed = fourier.per_image(total, [], ["row", "col"], ["re", "im", "n", "scanned"], {"value": "double", "density": "double", "scanned": "double"}, back)
+    return summed.where("scanned > 0").drop("scanned")
 
 
 def align(images: DataFrame, bf: DataFrame, grid_shape: tuple[int, int], scan_shape: tuple[int, int], factors: tuple[int, ...] = (3, 2, 1), upsample: int = 4, connectivity: int = 4, by_reference: bool = False) -> DataFrame:
