@@ -1,8 +1,10 @@
 """Scans whose last row is incomplete: all of its frames count, as in the SQL."""
 
 import duckdb
+import numpy as np
 import pytest
 
+from scanlake.operators import parallax
 from scanlake.plans import catalog, queries_image, queries_kept, queries_more, queries_scan  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
@@ -29,3 +31,18 @@ def test_query_as_sql(spark, folder, name):
         names = [x[0] for x in found.description]
         want = sorted((tuple(r[names.index(c)] for c in cols) for r in found.fetchall()), key=str)
     assert sorted((tuple(r[c] for c in cols) for r in df.collect()), key=str) == want and want
+
+
+# ---- parallax: positions that were not scanned have no contrast
+
+def test_alignment_with_an_incomplete_row(spark, folder):
+    assert catalog.QUERIES["par_01_run"](spark, folder).count() == 9
+    rng = np.random.default_rng(8)
+    base = 100 + 40 * np.fft.ifft2(np.fft.fft2(rng.normal(0, 1, (24, 25))) * np.exp(-(np.hypot(np.fft.fftfreq(24)[:, None], np.fft.fftfreq(25)[None, :]) ** 2) * 40)).real
+    truth = {i: ((i // 3 - 1) * 2, (i % 3 - 1) * -1) for i in range(9)}
+    rows = [(i, r, c, float(v)) for i, s in truth.items() for (r, c), v in np.ndenumerate(np.roll(base, (-s[0], -s[1]), (0, 1))) if r * 25 + c < 23 * 25 + 6]
+    images = spark.createDataFrame(rows, "bf_idx int, scan_row int, scan_col int, value double")
+    found = {r.bf_idx: np.array((r.shift_row, r.shift_col)) for r in parallax.align(images, queries_image._bf(spark), (8, 8), (24, 25), (1,)).collect()}
+    assert all(np.allclose(found[i] - found[4], truth[i], atol=0.3) for i in truth)
+    still = spark.createDataFrame([(i, 0.0, 0.0) for i in range(9)], "bf_idx int, shift_row double, shift_col double")
+    assert parallax.shift_and_sum(images, still, (24, 25), 2).count() == (23 * 25 + 6) * 4
