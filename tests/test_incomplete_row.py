@@ -35,6 +35,21 @@ def test_query_as_sql(spark, folder, name):
 
 # ---- parallax: positions that were not scanned have no contrast
 
+def bright(folder: str) -> np.ndarray:
+    """Counts of the 3 x 3 pixels in the middle, by pixel and frame."""
+    rows = duckdb.sql(f"select floor((embedding[(3 + i // 3) * 8 + 4 + i % 3]::double + 1) * 100) from '{folder}/embeddings.parquet', range(9) t(i) order by i, vec_id").fetchnumpy()
+    return np.asarray(next(iter(rows.values()))).reshape(9, -1)
+
+
+def test_pairwise_shifts_against_numpy(spark, folder):
+    counts = bright(folder)
+    images = np.repeat(counts.mean(1)[:, None], -(-counts.shape[1] // 25) * 25, 1)
+    images[:, : counts.shape[1]] = counts
+    images = images.reshape(9, -1, 25)
+    for r in catalog.QUERIES["par_06_pairwise_shifts"](spark, folder).collect():
+        assert (r.shift_row, r.shift_col) == pytest.approx(parallax.correlation_shift(images[r.i], images[r.j]), abs=1e-4)
+
+
 def test_alignment_with_an_incomplete_row(spark, folder):
     assert catalog.QUERIES["par_01_run"](spark, folder).count() == 9
     rng = np.random.default_rng(8)
