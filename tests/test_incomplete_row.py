@@ -84,6 +84,7 @@ def _grid(folder):
 
 DIRECT = {
     "ssb_06_object": _object,
+    "ssb_07_phase": lambda f: image_rows(phase=np.angle(Direct(f).waves(ssb.Aberrations(C10=100.0))).mean(0)),
     "ssb_08_loss_is_variance": lambda f: [(0, float(np.angle(Direct(f).waves(ssb.Aberrations(50.0, 10.0, 0.3))).var(0).mean()))],
 }
 
