@@ -87,6 +87,7 @@ DIRECT = {
     "ssb_07_phase": lambda f: image_rows(phase=np.angle(Direct(f).waves(ssb.Aberrations(C10=100.0))).mean(0)),
     "ssb_08_loss_is_variance": lambda f: [(0, float(np.angle(Direct(f).waves(ssb.Aberrations(50.0, 10.0, 0.3))).var(0).mean()))],
     "ssb_10_candidate_losses": lambda f: list(enumerate(Direct(f).loss([(x, 0, 0) for x in (-20, 0, 20)]))),
+    "ssb_12_refined": _refined,
     "ssb_13_grid_search": _grid,
     "ssb_15_preview": lambda f: image_rows(phase=np.angle(Direct(f, 2).waves(ssb.Aberrations())).mean(0)),
 }
