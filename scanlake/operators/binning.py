@@ -65,16 +65,17 @@ def half_even(x: Column, least: int, most: int) -> Column:
 
 # ---- binning
 
-def bin_pixels(pixels: DataFrame, factor: int, shape: dict[str, int], reduction: str = "sum", edge: str = "crop") -> DataFrame:
+def bin_pixels(pixels: DataFrame, factor: int, shape: dict[str, int | None], reduction: str = "sum", edge: str = "crop") -> DataFrame:
     """Sums or means of blocks along the axes in shape (column name: length). edge "crop" drops incomplete blocks,
-    "partial" keeps them as if padded with zeros (sums only). Sums are long."""
+    "partial" keeps them as if padded with zeros (sums only). An axis without a length (None) is not cropped: its last blocks are
+    the sum or mean of what there is. Sums are long."""
     if factor < 1 or reduction not in ("sum", "mean") or edge not in ("crop", "partial"):
         raise ValueError("factor, reduction or edge is not valid")
     if edge == "partial" and reduction == "mean":
         raise ValueError("partial blocks have no mean")
     keys = [c for c in ("dataset_id", "scan_row", "scan_col", "det_row", "det_col") if c in pixels.columns]
     if edge == "crop":
-        for axis, n in shape.items():
+        for axis, n in ((axis, n) for axis, n in shape.items() if n is not None):
             pixels = pixels.where(F.col(axis) < n // factor * factor)
     own = [F.floor(F.col(k) / factor).cast("int").alias(k) if k in shape else F.col(k) for k in keys]
     return pixels.groupBy(*own).agg((F.sum("n") if reduction == "sum" else F.avg("n")).alias("n"))
