@@ -82,20 +82,26 @@ def rotated(com: DataFrame, degrees: float, transposed: bool = False) -> DataFra
     return com.select(*keys_of(com), row.alias("com_row"), col.alias("com_col"))
 
 
+def _poisson_spectrum(row: np.ndarray, col: np.ndarray, k0: np.ndarray, k1: np.ndarray) -> np.ndarray:
+    """Of the phase, from those of its gradient at the frequencies k0 and k1; 0 at frequency 0."""
+    k2 = k0**2 + k1**2
+    return np.where(k2 > 0, 0.25j * (k0 * row + k1 * col) / np.where(k2 > 0, k2, 1), 0)
+
+
 def poisson_phase(row: np.ndarray, col: np.ndarray) -> np.ndarray:
     """The phase whose gradient is (row, col), by Fourier integration; mean 0."""
     k0, k1 = np.meshgrid(np.fft.fftfreq(row.shape[0]), np.fft.fftfreq(row.shape[1]), indexing="ij")
-    k2 = k0**2 + k1**2
-    k2[0, 0] = 1
-    spectrum = -0.25j * (k0 * np.fft.fft2(row) + k1 * np.fft.fft2(col)) / k2
-    spectrum[0, 0] = 0
-    phase = np.fft.ifft2(spectrum).real
-    return -(phase - phase.mean())
+    return np.fft.ifft2(_poisson_spectrum(np.fft.fft2(row), np.fft.fft2(col), k0, k1)).real
 
 
 def integrate(gradient: DataFrame, keys: list[str] | None = None, shape: tuple[int, int] | None = None) -> DataFrame:
-    """scan_row, scan_col, com_row, com_col to phase. One image (of a dataset, with keys) is one task's array. shape: that of the
-    phase (else the gradient's own); rows beyond it still count, see fourier.to_array."""
+    """scan_row, scan_col, com_row, com_col to phase. shape: that of the phase (else the gradient's own); rows beyond it still count, see
+    fourier.to_array. An image is spread over the tasks, but one of several (with keys) without a shape is one task's array."""
+    if shape is None and not keys:
+        shape = fourier.shape_of(gradient, ["scan_row", "scan_col"])
+    if shape is not None:
+        f = lambda r, c, u, w: _poisson_spectrum(r, c, *(np.fft.fftfreq(n)[k] for n, k in zip(shape, (u, w), strict=True)))
+        return fourier.filtered(gradient, ["scan_row", "scan_col"], ["com_row", "com_col"], shape, "phase", f, keys or [])
     return fourier.per_image(gradient, keys or [], ["scan_row", "scan_col"], ["com_row", "com_col"], {"phase": "double"}, lambda r, c: {"phase": poisson_phase(r, c)}, shape)
 
 

@@ -162,8 +162,13 @@ def hann(image: DataFrame, shape: tuple[int, int]) -> DataFrame:
 
 # ---- Fourier views
 
-def fft2(image: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """re, im by row and col (frequencies in transform order)."""
+def fft2(image: DataFrame, keys: list[str] | None = None, shape: tuple[int, int] | None = None) -> DataFrame:
+    """re, im by row and col (frequencies in transform order). With a shape an image is spread over the tasks, and rows beyond it (as of
+    an incomplete scan row) count, see fourier.to_array; one image without a shape has the one that its rows need."""
+    if shape is None and not keys:
+        shape = fourier.shape_of(image, ["row", "col"])
+    if shape is not None:
+        return fourier.fft2(image, ["row", "col"], ["value"], shape, keys or [])
 
     def run(v: np.ndarray) -> dict[str, np.ndarray]:
         f = np.fft.fft2(v)
@@ -172,7 +177,13 @@ def fft2(image: DataFrame, keys: list[str] | None = None) -> DataFrame:
     return fourier.per_image(image, keys or [], ["row", "col"], ["value"], {"re": "double", "im": "double"}, run)
 
 
-def ifft2(spectrum: DataFrame, keys: list[str] | None = None) -> DataFrame:
+def ifft2(spectrum: DataFrame, keys: list[str] | None = None, shape: tuple[int, int] | None = None) -> DataFrame:
+    """re, im of the image; shape as for fft2."""
+    if shape is None and not keys:
+        shape = fourier.shape_of(spectrum, ["row", "col"])
+    if shape is not None:
+        return fourier.fft2(spectrum, ["row", "col"], ["re", "im"], shape, keys or [], inverse=True)
+
     def run(re: np.ndarray, im: np.ndarray) -> dict[str, np.ndarray]:
         f = np.fft.ifft2(re + 1j * im)
         return {"re": f.real, "im": f.imag}
@@ -264,11 +275,21 @@ def frequency_mask(radius, mode: str, cutoff: float | None = None, center: float
     return step(radius - max(0, center - half)) * (1 - step(radius - min(1, center + half)))
 
 
-def frequency_filter(image: DataFrame, mode: str, keys: list[str] | None = None, **options) -> DataFrame:
+def frequency_filter(image: DataFrame, mode: str, keys: list[str] | None = None, shape: tuple[int, int] | None = None, **options) -> DataFrame:
+    """shape as for fft2: with one, an image is spread over the tasks."""
+
+    def mask(u: np.ndarray, w: np.ndarray, shape: tuple[int, int]) -> np.ndarray:
+        fr, fc = (np.minimum(k, n - k) / max(1, n / 2) for k, n in zip((u, w), shape, strict=True))
+        return frequency_mask(np.minimum(1, np.hypot(fr, fc)), mode, **options)
+
+    if shape is None and not keys:
+        shape = fourier.shape_of(image, ["row", "col"])
+    if shape is not None:
+        return fourier.filtered(image, ["row", "col"], ["value"], shape, "value", lambda s, u, w: s * mask(u, w, shape), keys or [])
+
     def run(v: np.ndarray) -> dict[str, np.ndarray]:
-        fr, fc = (np.minimum(np.arange(n), n - np.arange(n)) / max(1, n / 2) for n in v.shape)
-        radius = np.minimum(1, np.hypot(fr[:, None], fc[None, :]))
-        return {"value": np.fft.ifft2(np.fft.fft2(v) * frequency_mask(radius, mode, **options)).real}
+        u, w = np.ogrid[: v.shape[0], : v.shape[1]]
+        return {"value": np.fft.ifft2(np.fft.fft2(v) * mask(u, w, v.shape)).real}
 
     return fourier.per_image(image, keys or [], ["row", "col"], ["value"], {"value": "double"}, run)
 
