@@ -10,7 +10,7 @@ from scanlake.plans import catalog, queries_image, queries_kept, queries_more, q
 SF = "/root/testdata/sf0.001"
 #: An even and an odd number of complete rows of 25.
 SIZES = (506, 534)
-AS_SQL = ["scr_01_prepare", "io_26_screening_saved", "scr_01_prepare_by_dataset", "scr_06_cache_validity", "scr_07_forced_rotation", "dpc_08_integrate", "dpc_09_run", "io_03_hdf5_master", "par_10_shift_and_sum", "ssb_02_scan_spectra", "ssb_21_gain", "bin_01_all_mean", "img_05_fft_peak", "img_06_fft2", "img_07_shifted_magnitude"]
+AS_SQL = ["scr_01_prepare", "io_26_screening_saved", "scr_01_prepare_by_dataset", "scr_06_cache_validity", "scr_07_forced_rotation", "dpc_08_integrate", "dpc_09_run", "io_03_hdf5_master", "par_10_shift_and_sum", "ssb_02_scan_spectra", "ssb_21_gain", "bin_01_all_mean", "img_05_fft_peak", "img_06_fft2", "img_07_shifted_magnitude", "img_11_frequency_filter"]
 
 
 @pytest.fixture(scope="module", params=SIZES)
