@@ -99,6 +99,16 @@ def test_ptychography_against_numpy(spark, folder, name):
     assert len(got) == len(want) and np.allclose(got, want, rtol=0, atol=2e-4)
 
 
+def test_losses_a_few_at_a_time(spark, folder, monkeypatch):
+    """A task's sums don't grow with the number of candidates."""
+    session, held = queries_image._session(spark, folder), []
+    candidates, moments = [ssb.Aberrations(C10=x) for x in (-200.0, 0.0, 200.0, 50.0, 70.0)], ssb.moments
+    want = session.loss(candidates)
+    monkeypatch.setattr(ssb, "moments", lambda prepared, g, these, dc: held.append(len(these)) or moments(prepared, g, these, dc))
+    monkeypatch.setattr(ssb, "SUMS", 4 * 25 * session.g.scan_shape[0] * 2 + 7)
+    assert np.allclose(session.loss(candidates), want, rtol=0, atol=1e-12) and held == [2, 2, 1]
+
+
 # ---- parallax: positions that were not scanned have no contrast
 
 def test_pairwise_shifts_against_numpy(spark, folder):
