@@ -151,7 +151,7 @@ def discover(spark: SparkSession, folder: str, pattern: str = "*", frames: int |
     like = "^" + "".join(".*" if c == "*" else "." if c == "?" else f"\\Q{c}\\E" for c in pattern) + "$"
     names = sorted(r[0] for r in found.where(F.rlike(F.regexp_extract("p", r"([^/]+)$", 1), F.lit(like))).collect())  # a row for each scan
     if frames is not None:
-        names = [n for n in names if metadata(spark, n)["frames"] == frames]
+        names = [n for n in names if sum(metadata(spark, n)[k] for k in ("frames", "tail")) == frames]
     if not names:
         raise FileNotFoundError(f"no scans like {pattern} in {folder}")
     return names

@@ -1,11 +1,15 @@
 """Scans whose last row is incomplete: all of its frames count, as in the SQL."""
 
+from dataclasses import replace
+
 import duckdb
 import numpy as np
 import pytest
 
 from scanlake.operators import parallax, ssb
 from scanlake.plans import catalog, queries_image, queries_kept, queries_more, queries_scan  # noqa: F401
+from scanlake.plans.model import embeddings_scan
+from scanlake.sources import frames
 
 SF = "/root/testdata/sf0.001"
 #: An even and an odd number of complete rows of 25.
@@ -33,6 +37,24 @@ def test_query_as_sql(spark, folder, name):
     assert sorted((tuple(r[c] for c in cols) for r in df.collect()), key=str) == want and want
 
 
+def test_positions_of_the_incomplete_row_are_asked_for(spark, tmp_path):
+    """Frames 500 to 505, with labels that the query wants."""
+    duckdb.sql(f"copy (select i as vec_id, embedding, (i % 10)::integer as label from range(506) t(i) join '{SF}/embeddings.parquet' on vec_id = i % 500) to '{tmp_path}/embeddings.parquet' (format parquet)")
+    asked = catalog.QUERIES["sel_05_sparse_positions_by_dataset"](spark, str(tmp_path))
+    assert {r.frame_idx for r in asked.collect()} == {i for i in range(506) if i % 50 < 10}
+
+
+def test_saved_with_its_tail(spark, folder, tmp_path):
+    scan = embeddings_scan(spark, folder)
+    n = scan.scan_shape[0] * 25 + scan.tail
+    frames.save(scan, path := str(tmp_path / "scan"))
+    assert frames.is_ready(spark, path) and frames.load(spark, path).validate().tail == scan.tail and n in SIZES
+    assert len(frames.discover(spark, str(tmp_path), frames=n)) == 1
+    with pytest.raises(ValueError):
+        replace(scan, tail=scan.tail + 1).validate()
+    assert frames.load(spark, path, scan_region=(1, 4, 2, 7)).validate().frames.count() == 15
+
+
 # ---- ptychography: the spectra hold the incomplete row a period earlier, as ssb_02's SQL has it; the rest against NumPy
 
 def bright(folder: str) -> np.ndarray:
